@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carsift.functions.text import SPACE, clean_for_matching, contains_any, null_if_blank, squeeze, strip_spaces, title_case
+from carsift.operators.settle import settle
 from carsift.sources.dictionaries import builtin
 
 _S = f"[{SPACE}]"
@@ -132,39 +133,42 @@ def normalize_modele(modele: Column) -> Column:
     return title_case(strip_spaces(text))
 
 
-def split_title(titre: Column) -> Column:
-    """struct(marque, modele, version): the first listed brand found in the title, then a known model among the first
-    three words (else the first word); a known model without a brand supplies the brand."""
+def with_title_parts(df: DataFrame, titre: str, prefix: str = "t_") -> DataFrame:
+    """Adds <prefix>marque, modele, version: the first listed brand found in the title, then a known model among the first
+    three words (else the first word); a known model without a brand supplies the brand. One projection per step."""
     cfg = builtin("parsing")
     models = [(m, b) for b, ms in cfg["brand_models"].items() for m in ms]
-    title = strip_spaces(F.coalesce(titre, F.lit("")))
-    lowered = F.lower(title)
+    c = F.col
     brand = None
     for b in cfg["brands"]:
-        hit = F.contains(lowered, F.lit(b.lower()))
+        hit = F.contains(c("_low"), F.lit(b.lower()))
         brand = F.when(hit, b) if brand is None else brand.when(hit, b)
-    brand = brand.otherwise("")
+    st = df.withColumn("_title", strip_spaces(F.coalesce(c(titre), F.lit("")))).withColumn("_low", F.lower("_title"))
+    st = settle(st.withColumn("_brand", brand.otherwise("")), ["_brand"])
     # drop the first occurrence of the brand
-    at = F.position(F.lower(brand), lowered)
-    rest = F.when(brand != "", strip_spaces(F.concat(
-        F.substring(title, F.lit(1), at - 1), F.substring(title, at + F.length(brand), F.length(title))))).otherwise(title)
-    words = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(squeeze(rest), " "))
+    at = F.position(F.lower("_brand"), c("_low"))
+    cut = strip_spaces(F.concat(F.substring("_title", F.lit(1), at - 1), F.substring("_title", at + F.length("_brand"), F.length("_title"))))
+    st = settle(st.withColumn("_rest", F.when(c("_brand") != "", cut).otherwise(c("_title"))), ["_rest"])
+    st = settle(st.withColumn("_words", F.when(c("_rest") == "", F.array().cast("array<string>")).otherwise(F.split(squeeze(c("_rest")), " "))), ["_words"])
     table = F.create_map(*[F.lit(x) for m, _ in models for x in (m.lower(), m)])
     heads = F.filter(
-        F.transform(F.slice(words, 1, 3), lambda w: F.struct(
+        F.transform(F.slice("_words", 1, 3), lambda w: F.struct(
             w.alias("w"), F.try_element_at(table, F.lower(F.regexp_replace(w, "[^a-zA-Z0-9]", ""))).alias("m"))),
         lambda s: s["m"].isNotNull())
-    known = F.get(heads, F.lit(0))
-    modele = F.coalesce(known["m"], F.get(words, F.lit(0)), F.lit(""))
+    st = settle(st.withColumn("_known", F.get(heads, F.lit(0))), ["_known"])
     version = (
-        F.when(known.isNotNull(), F.array_join(F.filter(words, lambda w: w != known["w"]), " "))
-        .when(F.size(words) > 0, F.array_join(F.slice(words, 2, 2147483647), " "))
-        .otherwise(rest)
+        F.when(c("_known").isNotNull(), F.array_join(F.filter("_words", lambda w: w != c("_known.w")), " "))
+        .when(F.size("_words") > 0, F.array_join(F.slice("_words", 2, 2147483647), " "))
+        .otherwise(c("_rest"))
     )
+    st = settle(st.withColumn("_model", F.coalesce(c("_known.m"), F.get("_words", F.lit(0)), F.lit(""))), ["_model"])
     owner = F.create_map(*[F.lit(x) for m, b in models for x in (m.lower(), b)])
-    brand_or_owner = F.when(brand != "", brand).otherwise(F.coalesce(F.try_element_at(owner, F.lower(modele)), F.lit("")))
-    return F.struct(normalize_marque(brand_or_owner).alias("marque"), normalize_modele(modele).alias("modele"),
-                    strip_spaces(version).alias("version"))
+    st = settle(st.withColumn("_owner", F.when(c("_brand") != "", c("_brand")).otherwise(
+        F.coalesce(F.try_element_at(owner, F.lower("_model")), F.lit("")))), ["_owner"])
+    out = st.withColumns({prefix + "marque": normalize_marque(c("_owner")), prefix + "modele": normalize_modele(c("_model")),
+                          prefix + "version": strip_spaces(version)})
+    return settle(out.drop("_title", "_low", "_brand", "_rest", "_words", "_known", "_model", "_owner"),
+                  [prefix + n for n in ("marque", "modele", "version")])
 
 
 def extract_motorisation(text: Column) -> Column:

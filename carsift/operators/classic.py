@@ -10,6 +10,7 @@ from carsift.functions.parse import extract_contact_phone, extract_email
 from carsift.functions.phrases import PhraseSet, pick
 from carsift.functions.text import SPACE, blank_if_null, contains_any
 from carsift.operators.identify import classic_target_ord
+from carsift.operators.settle import settle
 from carsift.sources.dictionaries import builtin
 
 
@@ -86,7 +87,8 @@ def classic_score(df: DataFrame, as_of: Column, cfg: dict | None = None) -> Data
         "marge_estimee_max": F.when(hit & prix.isNotNull(), F.greatest(F.lit(0), r_max - prix - F.floor(cost / 2).cast("int"))),
         "v1_mots": words_score,
     })
-    return out.withColumn("niveau_alerte", alert_level(c("score_rentabilite"))).drop("classic_ord", "classic_text", "v1_words")
+    out = settle(out.drop("classic_ord", "classic_text", "v1_words"), ["score_rentabilite", "vehicule_classic"])
+    return out.withColumn("niveau_alerte", alert_level(c("score_rentabilite")))
 
 
 def problems(text: Column, cfg: dict | None = None) -> Column:

@@ -85,8 +85,9 @@ def near_duplicates(batch: DataFrame, history: DataFrame, created: str = "create
     newest = first_per_key(history.select("fingerprint_soft", SEQ, created, *cols), F.col("fingerprint_soft"),
                            [F.col(created).desc(), F.col(SEQ).desc()], k=2)
     pairs = newest.groupBy("fingerprint_soft").agg(F.array_sort(F.collect_list(F.struct("_rn", *cols))).alias("_c"))
-    other = F.get(F.filter("_c", lambda x: x["fingerprint"] != F.col("fingerprint")), F.lit(0))
-    return batch.join(pairs, "fingerprint_soft", "left").withColumn("near", other).drop("_c")
+    others = F.filter("_c", lambda x: x["fingerprint"] != F.col("fingerprint"))
+    first = F.get(F.transform(others, lambda x: F.struct(*[x[n].alias(n) for n in cols])), F.lit(0))
+    return batch.join(pairs, "fingerprint_soft", "left").withColumn("near", first).drop("_c")
 
 
 def seen_recently(history: DataFrame, as_of: Column, hours: int = 24, newest: int = 5000) -> DataFrame:

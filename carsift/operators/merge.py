@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carsift.functions.parse import parse_boite, parse_carburant, parse_departement, parse_seller_type, split_title
+from carsift.functions.parse import parse_boite, parse_carburant, parse_departement, parse_seller_type, with_title_parts
 from carsift.functions.text import blank_if_null
 
 c = F.col
@@ -14,17 +14,17 @@ c = F.col
 def index_to_listing(df: DataFrame, faithful: bool = False) -> DataFrame:
     """Brand, model and version from the source, else from the title; department from the place text; thumbnail as the
     only image. `faithful` drops the fuel of the index row (as the original flow does)."""
-    t = df.withColumn("_t", split_title(c("titre")))
+    t = with_title_parts(df, "titre", "_t_")
     incomplete = (blank_if_null("marque") == "") | (blank_if_null("modele") == "")
 
     def fill(name: str):
-        return F.when(incomplete & (blank_if_null(name) == ""), c(f"_t.{name}")).otherwise(blank_if_null(name))
+        return F.when(incomplete & (blank_if_null(name) == ""), c(f"_t_{name}")).otherwise(blank_if_null(name))
 
     out = t.withColumns({n: fill(n) for n in ("marque", "modele", "version")})
     dept = F.when(blank_if_null("departement") != "", c("departement")).otherwise(parse_departement(c("ville")))
     images = F.when(blank_if_null("thumbnail_url") != "", F.array("thumbnail_url")).otherwise(F.array().cast("array<string>"))
     fuel = F.lit("unknown") if faithful else F.when(blank_if_null("carburant") != "", c("carburant")).otherwise("unknown")
-    return out.withColumns({"departement": dept, "images_urls": images, "carburant": fuel}).drop("_t")
+    return out.withColumns({"departement": dept, "images_urls": images, "carburant": fuel}).drop("_t_marque", "_t_modele", "_t_version")
 
 
 def merge_detail(listings: DataFrame, details: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from carsift.functions.phrases import total as total_of
 from carsift.functions.text import blank_if_null, contains_any
 from carsift.operators import keywords as kwd
 from carsift.operators.identify import vehicle_value, with_target
+from carsift.operators.settle import settle
 from carsift.sources.dictionaries import builtin
 
 BREAKDOWN = ["prix_score", "prix_detail", "km_score", "km_detail", "freshness_score", "freshness_detail", "keywords_score",
@@ -199,7 +200,7 @@ def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | Non
     opp_entries = kwd.opportunity_entries(keywords) if profile == "v3" else keywords["opportunity"]
     risk_entries = kwd.risk_entries(keywords)
 
-    st = _keyword_stage(with_target(df, targets), profile, keywords)
+    st = settle(_keyword_stage(with_target(df, targets), profile, keywords), ["veh_ord", "opp_hits", "risk_hits", "excluded_by"])
     st = st.withColumns({
         "scored": c("veh_ord").isNotNull() & c("excluded_by").isNull(),
         "hours": age_seconds(c("published_at"), as_of) / F.lit(3600),
@@ -261,7 +262,7 @@ def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | Non
         "status": F.when(excluded, "exclue").otherwise(c("status") if "status" in df.columns else F.lit("nouveau")),
         "ignore_reason": F.when(excluded, c("excluded_by")).otherwise(c("ignore_reason") if "ignore_reason" in df.columns else F.lit("")),
     }
-    out = st.withColumns(final).withColumns({
+    out = settle(st.withColumns(final), ["total"]).withColumns({
         "score_total": c("total"), "alert_level": alert_level(c("total")),
         "margin_estimate_min": c("margin_min"), "margin_estimate_max": c("margin_max"),
     })
@@ -296,4 +297,5 @@ def light_score(df: DataFrame, as_of: Column) -> DataFrame:
     )
     extra = (F.when(prix < 2000, 20).when(prix < 3000, 10).otherwise(0)
              + F.when(hours < 1, 30).when(hours < 6, 20).when(hours < 24, 10).otherwise(0) + F.when(urgent, 15).otherwise(0))
-    return df.withColumns({"score_light": F.greatest(F.lit(0), points), "priority": extra + points}).drop("light_text", "light_hours")
+    df = df.withColumns({"score_light": F.greatest(F.lit(0), points), "priority": extra + points}).drop("light_text", "light_hours")
+    return settle(df, ["score_light", "priority"])

@@ -448,8 +448,8 @@ def _(spark, folder):
 
 
 @query("D4_run_stats", SQ(f"SELECT (SELECT count(*) FROM batch) AS index_scanned, (SELECT count(*) FROM fresh) AS index_new, (SELECT count(*) FROM batch) - (SELECT count(*) FROM fresh) AS index_duplicates, count(*) AS detail_fetched, "
-       f"count(*) FILTER (alert_level = 'urgent') AS urgent_count, count(*) FILTER (alert_level = 'interessant') AS interessant_count, count(*) FILTER (score_total >= 60) AS notified FROM scored WHERE published_at >= TIMESTAMP '{CUT}' AND arrival_seq IN (SELECT arrival_seq FROM fresh)",
-       IDS, HIST, NEW_SQL, R.scored()))
+       f"count(*) FILTER (alert_level = 'urgent') AS urgent_count, count(*) FILTER (alert_level = 'interessant') AS interessant_count, count(*) FILTER (score_total >= 60) AS notified FROM scored",
+       IDS, HIST, NEW_SQL, R.scored(source="fresh")))
 def _(spark, folder):
     df = raw(spark, folder)
     batch = after(df)
@@ -459,7 +459,7 @@ def _(spark, folder):
     return stats.pipeline_stats(counts, decided)
 
 
-@query("D5_source_totals", SQ("SELECT b.source, count(*) AS index_count, count(*) FILTER (f.arrival_seq IS NOT NULL) AS new_count FROM batch b LEFT JOIN fresh f USING (arrival_seq) GROUP BY b.source", IDS, HIST, NEW_SQL))
+@query("D5_source_totals", SQ("SELECT source, index_count, coalesce(new_count, 0) AS new_count FROM (SELECT source, count(*) AS index_count FROM batch GROUP BY source) LEFT JOIN (SELECT source, count(*) AS new_count FROM fresh GROUP BY source) USING (source)", IDS, HIST, NEW_SQL))
 def _(spark, folder):
     df = raw(spark, folder)
     batch = after(df)

@@ -252,9 +252,7 @@ def title_ctes(src="lt", col="title_text"):
 
 @query("H24_parse_title", LS("arrival_seq, t_marque, t_modele, coalesce(t_version, '') AS t_version", "title_text", ctes=title_ctes(), source="titles"))
 def _(spark, folder):
-    t = ps.split_title(c("title_text"))
-    return L(spark, folder, "title_text").select(KEY, t.alias("t")).select(
-        KEY, c("t.marque").alias("t_marque"), c("t.modele").alias("t_modele"), c("t.version").alias("t_version"))
+    return ps.with_title_parts(L(spark, folder, "title_text"), "title_text").select(KEY, "t_marque", "t_modele", "t_version")
 
 
 @query("H25_extract_motorisation", LS("arrival_seq, coalesce(trim(coalesce(" + X("power_text", r"(?i)([0-9]+\.[0-9]+\s*(?:hdi|dci|tdi|vti|tce|dti|cdti|jtd|d-4d|bluehdi|blue\s*hdi))") + ", "
