@@ -94,3 +94,27 @@ def _(spark, folder):
     pages = df.select(c(KEY).cast("string").alias("url"), _page('<script id="__NEXT_DATA__" type="application/json">', body).alias("html"))
     d = ex.extract_details(pages)
     return d.select(c("url").cast("long").alias(KEY), "description", "seller_type", "carburant", F.size("images_urls").alias("images"), "puissance_ch", "ct_info")
+
+
+@query("A6_object_finders", f"WITH {R.SRC}, n AS (SELECT count(*) AS n FROM src) SELECT finder, CAST(n * per_page AS BIGINT) AS objects FROM n, (VALUES ('json_scripts', 1), ('generic', 2), ('container', 1), ('ads', 2), ('fixed_path', 1), ('listings_or_priced', 1), ('attribute', 1)) AS f(finder, per_page)")
+def _(spark, folder):
+    """Objects each finder sees over pages of all listings. The finders without a stop key see a listing twice, once in its
+    list and once by recursion; later steps keep the first per id."""
+    auto, cen, lbc = (pages_for(spark, folder, s) for s in ("autoscout24", "lacentrale", "leboncoin"))
+    attribute = auto.select(F.concat(F.lit('<div data-testid="searchResults" data-results="'), F.replace(ex.next_data(c("html")), F.lit('"'), F.lit("&quot;")),
+                                     F.lit('"></div>')).alias("html"))
+
+    def seen(name, pages, objects):
+        return pages.select(F.lit(name).alias("finder"), F.size(objects).cast("long").alias("k"))
+
+    parts = [
+        seen("json_scripts", auto, ex.json_scripts(c("html"))), seen("generic", auto, ex.find_objects("generic")(ex.next_data(c("html")))),
+        seen("container", cen, ex.find_objects("container")(ex.embedded_json(c("html")))), seen("ads", lbc, ex.find_objects("ads")(ex.next_data(c("html")))),
+        seen("fixed_path", lbc, ex.fixed_path(ex.next_data(c("html")), "$.props.pageProps.searchData.ads")),
+        seen("listings_or_priced", auto, ex.find_objects("listings_or_priced")(ex.next_data(c("html")))),
+        seen("attribute", attribute, F.array_compact(F.array(ex.embedded_json(c("html"))))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("finder").agg(F.sum("k").alias("objects"))

@@ -240,7 +240,15 @@ def _(spark, folder):
 _kw = dic.builtin("keywords")
 
 
-@query("I16_pattern_table", None)
+def _pattern_sql():
+    entries = [e for e in kwd.opportunity_entries() + kwd.risk_entries() if "\\" not in e["patterns"][0]]
+    pairs = [(e["id"], p) for e in entries for p in dict.fromkeys(R.fold(x) for x in e["patterns"]) if not set(p) & set("-'")]
+    rows = ", ".join(f"({R.q(k)}, {R.q(p)})" for k, p in pairs)
+    return (f"WITH {R.SRC}, pads AS (SELECT {_pad()}, arrival_seq FROM src), pats(keyword_id, pattern) AS (VALUES {rows}) "
+            "SELECT keyword_id, pattern, count(pad) AS listings FROM pats LEFT JOIN pads ON contains(pad, ' ' || pattern || ' ') GROUP BY ALL")
+
+
+@query("I16_pattern_table", _pattern_sql())
 def _(spark, folder):
     """How often each dictionary pattern occurs in the listings: patterns joined to the words of every listing."""
     df = listings_from_orders(spark, folder).select(kwd.scan_text(c("titre"), c("description"), c("version")).alias("pad"))
