@@ -55,11 +55,11 @@ class CircuitProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else ("closed", 0, 0, 0, None)
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["ts_s", "event_id"]).itertuples(index=False):
-                state, entered = step(state, float(r.ts_s), bool(r.failed), r.status_code in (403, 429, 503))
-                if entered:
-                    out.append((key[0], int(r.event_id), entered))
+        # one micro-batch of one source, bounded by the trigger, in time order across its Arrow batches
+        for r in pd.concat(list(rows)).sort_values(["ts_s", "event_id"]).itertuples(index=False):
+            state, entered = step(state, float(r.ts_s), bool(r.failed), r.status_code in (403, 429, 503))
+            if entered:
+                out.append((key[0], int(r.event_id), entered))
         self.state.update(state)
         if out:
             yield pd.DataFrame(out, columns=["source", "event_id", "state"])

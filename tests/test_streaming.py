@@ -52,3 +52,24 @@ def test_circuit_steps():
         state, entered = health.step(state, ts, failed, failed)
         seen.append(entered)
     assert seen == [None, None, "open", None, "half_open", "closed", None]
+
+
+def test_circuit_stream_equals_the_sequential_rule(spark, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, i * 20, "a" if rnd.random() < 0.7 else "b", rnd.random() < 0.6) for i in range(240)]
+    want, states = [], {}
+    for i, ts, src, failed in rows:
+        states[src], entered = health.step(states.get(src, ("closed", 0, 0, 0, None)), float(ts), failed, failed)
+        if entered:
+            want.append((src, i, entered))
+    folder = str(tmp_path / "in")
+    for k in range(3):
+        part = spark.createDataFrame(rows[k * 80:(k + 1) * 80], "event_id long, s long, source string, failed boolean")
+        part.select("event_id", F.timestamp_seconds("s").alias("ts"), "source", "failed", F.when(F.col("failed"), 403).otherwise(200).alias("status_code")).coalesce(1).write.mode("append").parquet(folder)
+    schema = "event_id long, ts timestamp, source string, failed boolean, status_code int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = health.circuit_changes(stream).writeStream.format("memory").queryName("circ").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(want) == sorted((r.source, r.event_id, r.state) for r in spark.table("circ").collect()) and want
