@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carsift.llm import bpe, langid, licenses, quality
+from carsift.llm import bpe, jaccard, langid, licenses, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.public_vocabulary()
     coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
     return bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents"), n=3, num=9, den=10)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), size=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
