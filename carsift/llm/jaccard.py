@@ -21,11 +21,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carsift.llm.components import components
 from carsift.llm.scratch import written
+from carsift.llm.tiles import candidate_tiles, tile_classes
 from carsift.llm.words import Reader, Slice, mix
 
 BITS = 1024
@@ -146,7 +146,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, num: int
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_arrays(n), f"doc_id {kind}, ka long, sorted binary")
     # a repeated doc_id with other texts: only the set that stands for it
-    sets = sets.select(F.col("doc_id"), "ka", "n_shingles")
+    sets = sets.select(F.col("id").alias("doc_id"), "ka", "n_shingles")
     arrays = written(texts.join(sets, ["doc_id", "ka"]).dropDuplicates(["doc_id"]), "arrays")
     left = arrays.select(F.col("doc_id").alias("u"), F.col("sorted").alias("a"), F.col("n_shingles").alias("na"))
     right = arrays.select(F.col("doc_id").alias("v"), F.col("sorted").alias("b"), F.col("n_shingles").alias("nb"))
@@ -164,33 +164,11 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
     equal = some.groupBy("ka", "kb").agg(F.min("doc_id").alias("doc_id"))
     stand = written(equal.groupBy("doc_id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("doc_id", "k.ka", "k.kb"), "stand")
     sets = some.join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
-
-    tile = Window.partitionBy("key")
-    tiles = written(
-        sets.select("doc_id", F.explode("keys").alias("key")).select("key", "doc_id", F.count("*").over(tile).alias("m"), F.min("doc_id").over(tile).alias("lead")).where("m > 1").drop("m"), "tiles")
-    signs = written(profiles.select("doc_id", "ka", "kb", "n_shingles", "bits").join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
-                    .join(tiles.select("doc_id").distinct(), "doc_id", "left_semi"), "signs")
-    left = signs.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
-    right = signs.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    close = _may_link("na", "nb", "xa", "xb", num, den)
-
-    stars = tiles.where("doc_id > lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v")).distinct()
-    tried = written(stars.join(left, "u").join(right, "v").where(close).select("u", "v"), "stars")
-    links = written(_linked(tried, plain, signs, n, num, den, kind), "links")
-    roots = components(links)
-
-    # pairs of different classes that share a tile
-    member = tiles.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    split = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_ = written(member.join(split, "key", "left_semi"), "open")
-    full = open_.join(signs.select("doc_id", "n_shingles", "bits"), "doc_id")
-    one = full.select("key", F.col("doc_id").alias("u"), F.col("root").alias("ru"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
-    two = full.select("key", F.col("doc_id").alias("v"), F.col("root").alias("rv"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    across = one.join(two.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & close)
-    rest = written(across.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "across")
-    more = written(_linked(rest, plain, signs, n, num, den, kind), "links")
-    final = components(links.unionByName(more))
-
+    tiles = candidate_tiles(sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
+    shown = some.select("doc_id", "ka", "kb", "n_shingles", "bits").join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
+    signs = written(shown.withColumnRenamed("doc_id", "id").join(tiles.select("id").distinct(), "id", "left_semi"), "signs")
+    close = _may_link("a_n_shingles", "b_n_shingles", "a_bits", "b_bits", num, den)
+    final = tile_classes(tiles, signs.select("id", "n_shingles", "bits"), close, lambda pairs: _linked(pairs, plain, signs, n, num, den, kind))
     named = stand.join(final, F.col("doc_id") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "doc_id").alias("__class"))
     set_of = profiles.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("ka")).alias("ka"), F.when(F.col("n_shingles") > 0, F.col("kb")).alias("kb"))
     return set_of.join(named, ["ka", "kb"], "left").select(
