@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carsift.llm import bpe, jaccard, langid, licenses, line_dedup, quality, substrings
+from carsift.llm import bpe, jaccard, langid, licenses, line_dedup, mixing, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 @query("op3_quality_rules", OP3_SQL)
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rows = quality.ledger(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    rows = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        quality.failed(quality.BASE).alias("base_failed"), quality.kept("v1").alias("kept"))
 
@@ -96,3 +96,31 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, folder, "documents").select("doc_id", "text")).drop("text_key")
+
+
+OP2_SQL = """
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+bad AS (SELECT DISTINCT vec_id FROM e WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, i, floor(1024 * x)::BIGINT AS x FROM e WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id
+      WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 10
+"""
+
+
+@query("op2_exact_topk", OP2_SQL)
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op5_source_mixing")
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("text_key")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
+    index = toxicity.fit(docs.where(~held_out()), labels.where(~held_out()))
+    return toxicity.score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted")

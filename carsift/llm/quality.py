@@ -44,14 +44,21 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << i for i, (name, _) in enumerate(RULES) if name in rules)
 
 
-def _measured(batches):
+def _measured(text: str, keep_text: bool):
+    def run(batches):
+        yield from _measured_batches(batches, text, keep_text)
+
+    return run
+
+
+def _measured_batches(batches, text: str, keep_text: bool):
     reader = Reader()
     byte = np.arange(256)
     symbol, upper, digit = np.isin(byte, list(SYMBOLS)), (byte >= 65) & (byte <= 90), (byte >= 48) & (byte <= 57)
     letter = upper | ((byte >= 97) & (byte <= 122)) | (byte >= 0xC3)
     leads = reader.is_word & ((byte & 0xC0) != 0x80)
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("__text"))
+        texts = batch.column(batch.schema.get_field_index(text))
         out = {m: np.zeros(batch.num_rows, np.int64) for m in MEASURES}
         for s in reader.slices(texts):
             at = slice(s.lo, s.hi)
@@ -72,21 +79,21 @@ def _measured(batches):
                 for k in range(3):
                     covered[hit + k] = True
                 out["n_repeat_words"][at] = np.bincount(s.row[covered], minlength=s.hi - s.lo)
-        for i, text in enumerate(texts):
-            full = [x for x in (text.as_py() or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        for i, whole in enumerate(texts):
+            full = [x for x in (whole.as_py() or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
             out["n_lines"][i], out["n_dup_lines"][i] = len(full), len(full) - len(set(full))
-        keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "__text"]
+        keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if keep_text or n != text]
         yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(out[m], pa.int64()) for m in MEASURES], [n for n, _ in keep] + MEASURES)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs, the measurements, and fail_bits (bit i set: rule i of RULES failed). No shuffle."""
+def ledger(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of docs (the text only if asked for), the measurements, and fail_bits (bit i set: rule i of RULES failed)."""
     taken = {*MEASURES, "fail_bits"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in taken])
-    sent = docs.withColumn("__text", F.col(text))
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(m, T.LongType(), False) for m in MEASURES]])
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*fields, *[T.StructField(m, T.LongType(), False) for m in MEASURES]])
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, rule) in enumerate(RULES)]
-    return sent.mapInArrow(_measured, schema).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
+    return docs.mapInArrow(_measured(text, keep_text), schema).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
 
 
 def failed(policy: tuple[str, ...]) -> Column:
