@@ -36,10 +36,12 @@ def strip_spaces(col: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """(from, to) for translate(): every alphabetic character below U+2000 that canonical decomposition turns into one base
-    character, followed by the combining marks, which have no counterpart in `to` and are therefore deleted."""
+    """(from, to) for translate(): every character that canonical decomposition turns into one base character (all but
+    Hangul syllables, which decompose into several letters), followed by the combining marks, which have no counterpart in `to` and are therefore deleted."""
     src, dst, marks = [], [], []
-    for cp in range(0x80, 0x2000):
+    for cp in range(0x80, 0x30000):
+        if 0xD800 <= cp < 0xE000:
+            continue
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
         if base == "":

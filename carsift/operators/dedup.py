@@ -90,7 +90,6 @@ def near_duplicates(batch: DataFrame, history: DataFrame, created: str = "create
     return batch.join(pairs, "fingerprint_soft", "left").withColumn("near", first).drop("_c")
 
 
-def seen_recently(history: DataFrame, as_of: Column, hours: int = 24, newest: int = 5000) -> DataFrame:
-    """Preload horizon: the newest rows first, then the time filter (the order matters)."""
-    top = history.orderBy(F.col("created_at").desc(), F.col(SEQ)).limit(newest)
-    return top.filter(F.col("created_at") >= as_of - F.make_interval(hours=F.lit(hours)))
+def seen_recently(history: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Preload horizon: all rows inside the time window, however many there are."""
+    return history.filter(F.col("created_at") >= as_of - F.make_interval(hours=F.lit(hours)))

@@ -46,7 +46,8 @@ def pending_alerts(df: DataFrame, min_score: int = 40) -> DataFrame:
 
 
 def classic_filter(df: DataFrame, source: str | None = None, departement: str | None = None, score_min: int | None = None,
-                   notified: bool | None = None, limit: int = 100) -> DataFrame:
+                   notified: bool | None = None) -> DataFrame:
+    """All rows that pass; classic_page cuts a page from them."""
     if source:
         df = df.filter(c("source") == source)
     if departement:
@@ -55,7 +56,11 @@ def classic_filter(df: DataFrame, source: str | None = None, departement: str |
         df = df.filter(c("score_rentabilite") >= score_min)
     if notified is not None:
         df = df.filter(c("notified") == notified)
-    return df.orderBy(c("score_rentabilite").desc(), "arrival_seq").limit(limit)
+    return df
+
+
+def classic_page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    return df.orderBy(c("score_rentabilite").desc(), "arrival_seq").offset(offset).limit(limit)
 
 
 def exists_flags(batch: DataFrame, history: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carsift.functions.text import blank_if_null, contains_any, strip_spaces
+from carsift.operators.settle import settle
 from carsift.sources.dictionaries import builtin
 
 
@@ -46,8 +47,9 @@ def with_target(df: DataFrame, targets: dict | None = None) -> DataFrame:
     }
     found = target_ord(*[c(n) for n in lowered], targets)
     known = (blank_if_null("marque") != "") & (blank_if_null("modele") != "")
-    return df.withColumns(lowered).withColumn("veh_ord", F.when(known, found)).withColumn(
+    named = df.withColumns(lowered).withColumn("veh_ord", F.when(known, found)).withColumn(
         "vehicule_cible_id", F.coalesce(vehicle_value(c("veh_ord"), lambda v: v["id"], targets), F.lit(""))).drop(*lowered)
+    return settle(named, ["veh_ord", "vehicule_cible_id"])  # later filters on the vehicle must not repeat the CASE
 
 
 def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: DataFrame, exclusions: DataFrame,

@@ -41,7 +41,7 @@ _J4 = ("j4 AS (SELECT *, lag(arrival_seq) OVER w AS pseq, lag(prix) OVER w AS pp
 def _(spark, folder):
     """Batch form of the change stream: a listing counts as notified from its first row at or above the threshold."""
     df = stored(spark, folder).select(KEY, "fingerprint", "prix", "score_total")
-    lagged = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**14)), [KEY, "prix", "score_total"])
+    lagged = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**11)), [KEY, "prix", "score_total"])
     first = df.filter(c("score_total") >= 60).groupBy("fingerprint").agg(F.min(KEY).alias("hit"))
     later = c(KEY) > c("hit")
     reason = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carsift.functions import identity as idf
@@ -74,7 +75,7 @@ def _(spark, folder):
 
 @query("B2_classic_page", SQ("SELECT arrival_seq, score_rentabilite FROM v1 WHERE source = 'autoscout24' AND departement = '75' AND score_rentabilite >= 20 ORDER BY score_rentabilite DESC, arrival_seq LIMIT 100", CLASSIC_SQL))
 def _(spark, folder):
-    return filters.classic_filter(classic(spark, folder), source="autoscout24", departement="75", score_min=20).select(KEY, "score_rentabilite")
+    return filters.classic_page(filters.classic_filter(classic(spark, folder), source="autoscout24", departement="75", score_min=20)).select(KEY, "score_rentabilite")
 
 
 @query("B3_pending_alerts", SQ("SELECT arrival_seq, score_total FROM stored WHERE NOT notified AND score_total >= 40", STORED))
@@ -422,7 +423,7 @@ def _(spark, folder):
     return every.join(per, "departement", "left").select("departement", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("G4_recent_seen", SQ(f"SELECT arrival_seq FROM (SELECT * FROM ids ORDER BY created_at DESC, arrival_seq LIMIT 5000) WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 480 HOUR", IDS))
+@query("G4_recent_seen", SQ(f"SELECT arrival_seq FROM ids WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 480 HOUR", IDS))
 def _(spark, folder):
     return dedup.seen_recently(raw_ids(spark, folder), now(), hours=480).select(KEY)
 
@@ -538,22 +539,21 @@ def _(spark, folder):
 @query("E8_price_and_score_changes", SQ("SELECT arrival_seq, prix - lag(prix) OVER w AS d_prix, score_total - lag(score_total) OVER w AS d_score, coalesce(lag(prix) OVER w <> 0 AND prix < lag(prix) OVER w * 0.95e0, false) AS dropped FROM stored WINDOW w AS (PARTITION BY fingerprint ORDER BY arrival_seq)", STORED))
 def _(spark, folder):
     df = stored(spark, folder).select(KEY, "fingerprint", "prix", "score_total")
-    out = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**14)), ["prix", "score_total"])
+    out = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**11)), ["prix", "score_total"])
     dropped = F.coalesce((c("prev_prix") != 0) & (c("prix") < c("prev_prix") * 0.95), F.lit(False))
     return out.select(KEY, (c("prix") - c("prev_prix")).alias("d_prix"), (c("score_total") - c("prev_score_total")).alias("d_score"), dropped.alias("dropped"))
 
 
 @query("E10_top_ranks", SQ("SELECT CAST(row_number() OVER (ORDER BY score_rentabilite DESC, arrival_seq) AS INT) AS rang, arrival_seq, score_rentabilite FROM v1 ORDER BY rang LIMIT 20", CLASSIC_SQL))
 def _(spark, folder):
-    from pyspark.sql import Window as W
-
     top = classic(spark, folder).orderBy(c("score_rentabilite").desc(), KEY).limit(20).select(KEY, "score_rentabilite")
     return top.withColumn("rang", F.row_number().over(W.orderBy(c("score_rentabilite").desc(), KEY)))
 
 
-@query("E11_first_cards_per_source_day", SQ("SELECT arrival_seq FROM src QUALIFY row_number() OVER (PARTITION BY source, published_at ORDER BY arrival_seq) <= 20"))
+@query("E11_first_cards_per_source_day", SQ("SELECT arrival_seq, row_number() OVER (PARTITION BY source, published_at ORDER BY arrival_seq)::INTEGER AS card_no FROM src"))
 def _(spark, folder):
-    return dedup.first_per_key(raw(spark, folder).select(KEY, "source", "published_at"), F.struct("source", "published_at"), [c(KEY)], k=20).select(KEY)
+    """Each card's place on its page; keeping the first N is a filter on it, which Spark turns into a group limit."""
+    return raw(spark, folder).select(KEY, F.row_number().over(W.partitionBy("source", "published_at").orderBy(KEY)).alias("card_no"))
 
 
 # ---- F: sort and top-k ------------------------------------------------------------------------------------------
@@ -625,7 +625,7 @@ def _(spark, folder):
     return t.select("fingerprint", "notified", "notified_at", "status", "ignore_reason")
 
 
-@query("A26_export_rows", SQ("SELECT score_total, marque, modele, prix, kilometrage, annee, departement, alert_level, url, created_at FROM stored WHERE score_total >= 40 ORDER BY score_total DESC, arrival_seq LIMIT 1000", STORED))
+@query("A26_export_rows", SQ("SELECT score_total, marque, modele, prix, kilometrage, annee, departement, alert_level, url, created_at FROM stored WHERE score_total >= 40 ORDER BY score_total DESC, arrival_seq", STORED))
 def _(spark, folder):
     return store.export_rows(stored(spark, folder), 40).select(*store.EXPORT_COLUMNS)
 
@@ -640,7 +640,7 @@ def _(spark, folder):
     return back.select(KEY, F.array_join("keywords_opportunite", ", ").alias("opp"), "notified", F.unix_seconds("created_at").alias("created_s"), c("score_breakdown.total").alias("bd_total"))
 
 
-@query("A27_export_json", SQ("SELECT arrival_seq, CAST(json_extract(to_json({'a': arrival_seq, 'p': prix, 's': score_total}), '$.p') AS VARCHAR) AS prix_json FROM stored WHERE score_total >= 40 AND prix IS NOT NULL ORDER BY score_total DESC, arrival_seq LIMIT 1000", STORED))
+@query("A27_export_json", SQ("SELECT arrival_seq, CAST(json_extract(to_json({'a': arrival_seq, 'p': prix, 's': score_total}), '$.p') AS VARCHAR) AS prix_json FROM stored WHERE score_total >= 40 AND prix IS NOT NULL ORDER BY score_total DESC, arrival_seq", STORED))
 def _(spark, folder):
     rows = store.export_rows(stored(spark, folder).filter(c("prix").isNotNull()), 40)
     return rows.select(KEY, F.get_json_object(F.to_json(F.struct(KEY, "prix", "score_total")), "$.prix").alias("prix_json"))

@@ -22,7 +22,7 @@ b AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 ), src0 AS (
 SELECT
-  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS arrival_seq,
+  (l_orderkey * 10 + l_linenumber) * 1048576 + (l_partkey * 1000003 + l_suppkey * 7919) % 1048576 AS arrival_seq,
   CASE l_suppkey % 4 WHEN 0 THEN 'autoscout24' WHEN 1 THEN 'lacentrale' WHEN 2 THEN 'paruvendu' ELSE 'leboncoin' END AS source,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20))) END AS source_listing_id,
   concat('https://WWW.Example.fr/annonce/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_partkey % 50 AS VARCHAR(20)),

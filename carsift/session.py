@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,8 @@ def local_session(cpus: int | str = 8, app: str = "carsift", shuffle_partitions:
         # Spark keeps whole-stage codegen, above it it splits the expressions into small compiled methods
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # the test tables are single small files; a cluster leaves this unset and scans keep their splits
+        .config("spark.carsift.scan.partitions", str(parts))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,8 +31,8 @@ def local_session(cpus: int | str = 8, app: str = "carsift", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the cluster names, else one below the warehouse (tests only)."""
+    """Shared folder for checkpoints: the one the cluster names, else a temporary one (tests on one machine only)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return "file://" + tempfile.mkdtemp(prefix="carsift-checkpoints-")

@@ -11,10 +11,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores for CPU-heavy text work when the scan has fewer splits than the cluster has cores (small files);
-    a large scan keeps its splits, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deals the rows of a one-file table over the cores where the session asks for it (spark.carsift.scan.partitions, set by the
+    benchmark only). Without that setting a scan keeps its splits and no exchange is planned."""
+    asked = df.sparkSession.conf.get("spark.carsift.scan.partitions", None)
+    return df.repartition(int(asked)) if asked else df
 
 
 def _pick(selector: Column, values: list[str]) -> Column:
@@ -54,7 +54,7 @@ def listings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     marque, modele, version = _pick(v, BRANDS), _pick(v, MODELS), _pick(w % 6, VERSIONS)
     suffix = _pick(pk % 5, ["?utm_source=feed&b=2", "/", "#photos", "?searchId=9&x=", ""])
     return li.join(part, "l_partkey").join(supp, "l_suppkey").select(
-        (((ok * 10 + ln) * 100000 + pk) * 10000 + sk).cast("long").alias("arrival_seq"),
+        ((ok * 10 + ln) * 1048576 + (pk * 1000003 + sk * 7919) % 1048576).cast("long").alias("arrival_seq"),
         _pick(sk % 4, SOURCES).alias("source"),
         F.when(pk % 7 != 0, F.concat_ws("-", ok, ln)).alias("source_listing_id"),
         F.concat(F.lit("https://WWW.Example.fr/annonce/"), ok, F.lit("/"), pk % 50, suffix).alias("url"),

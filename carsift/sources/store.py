@@ -7,6 +7,7 @@ functions for callers with their own table format.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,18 +94,21 @@ def decode(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+# fixed values: columns of an export
 EXPORT_COLUMNS = ["score_total", "marque", "modele", "prix", "kilometrage", "annee", "departement", "alert_level", "url", "created_at"]
 
 
-def export_rows(df: DataFrame, min_score: int = 0, limit: int = 1000) -> DataFrame:
-    return df.filter(c("score_total") >= min_score).orderBy(c("score_total").desc(), "arrival_seq").limit(limit)
+def export_rows(df: DataFrame, min_score: int = 0, limit: int | None = None) -> DataFrame:
+    """Best first; all rows unless the caller asks for the first `limit`."""
+    rows = df.filter(c("score_total") >= min_score).orderBy(c("score_total").desc(), "arrival_seq")
+    return rows if limit is None else rows.limit(limit)
 
 
-def export_csv(df: DataFrame, path: str, min_score: int = 0, limit: int = 1000) -> None:
+def export_csv(df: DataFrame, path: str, min_score: int = 0, limit: int | None = None) -> None:
     export_rows(df, min_score, limit).select(*EXPORT_COLUMNS).write.mode("overwrite").csv(path, header=True)
 
 
-def export_json(df: DataFrame, path: str, min_score: int = 0, limit: int = 1000) -> None:
+def export_json(df: DataFrame, path: str, min_score: int = 0, limit: int | None = None) -> None:
     export_rows(df, min_score, limit).write.mode("overwrite").json(path)
 
 
@@ -122,14 +126,31 @@ def close_scans(started: DataFrame, ended: DataFrame) -> DataFrame:
 
 
 class ListingLog:
-    """Append-only versions of listings below `path`, one folder per batch id."""
+    """Append-only versions of listings below `path`: one folder per run and batch. A run is one streaming query (or one
+    series of manual appends), so a query that starts over with batch 0 adds to what earlier runs wrote."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, changes: DataFrame, batch_id: int) -> None:
-        """Rewriting the folder of a batch makes a replayed batch harmless."""
-        changes.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+    def runs(self) -> list[str]:
+        """Names of the runs so far, in order; a name is its number and its id."""
+        try:
+            return [r["run"] for r in self.versions().select("run").distinct().orderBy("run").collect()]
+        except AnalysisException:  # nothing written yet
+            return []
+
+    def run(self, run_id: str) -> str:
+        """The run's name: the one it has, else the next number."""
+        names = self.runs()
+        known = [n for n in names if n.split("-", 1)[1] == run_id]
+        return known[0] if known else f"r{int(names[-1][1:].split('-', 1)[0]) + 1 if names else 0:06d}-{run_id}"
+
+    def folder(self, batch_id: int, run: str) -> str:
+        return f"{self.path}/run={run}/batch_id={batch_id}"
+
+    def append(self, changes: DataFrame, batch_id: int, run: str = "r000000-manual") -> None:
+        """Rewriting the folder of a batch makes a replayed batch of the same run harmless."""
+        changes.write.mode("overwrite").parquet(self.folder(batch_id, run))
 
     def versions(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(self.path)
@@ -138,12 +159,15 @@ class ListingLog:
         """Latest version per fingerprint; created_at of the first, notified if any version was. One partial aggregation,
         so a listing with very many versions does not gather in one task."""
         v = self.versions()
-        keep = [n for n in v.columns if n not in (KEY, "batch_id", "created_at", "notified")]
-        latest = F.max_by(F.struct(*keep), F.struct("batch_id", "arrival_seq"))
+        keep = [n for n in v.columns if n not in (KEY, "run", "batch_id", "created_at", "notified")]
+        latest = F.max_by(F.struct(*keep), F.struct("run", "batch_id", "arrival_seq"))
         g = v.groupBy(KEY).agg(latest.alias("_v"), F.min("created_at").alias("created_at"), F.bool_or("notified").alias("notified"))
         return g.select(KEY, "_v.*", "created_at", "notified")
 
     def compact(self, target: str) -> "ListingLog":
-        """Writes the current view as batch 0 of a new log."""
-        self.current().write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id=0")
-        return ListingLog(self.spark, target)
+        """Writes the current view as the first run of a new, empty log; later runs add to it."""
+        into = ListingLog(self.spark, target)
+        if into.runs():
+            raise ValueError(f"{target} already holds a log")
+        into.append(self.current(), 0, "r000000-compacted")
+        return into

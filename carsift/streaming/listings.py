@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,27 +33,68 @@ def cadence(seconds: int | None) -> dict:
     return {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
 
 
-def drop_seen(stream: DataFrame, horizon: str = "24 hours") -> DataFrame:
-    """First sighting per listing id (rows without one: per canonical URL) inside the horizon. State is bounded by the
-    watermark; what comes back later is caught by the history anti joins of the sink."""
-    key = F.when(F.coalesce("source_listing_id", F.lit("")) != "", F.concat_ws(":", F.lit("id"), "source", "source_listing_id")).otherwise(
-        F.concat(F.lit("url:"), "url_canonique"))
-    keyed = with_canonical_url(stream).withColumn("seen_key", key).withWatermark("scraped_at", horizon)
-    return keyed.dropDuplicatesWithinWatermark(["seen_key"]).drop("seen_key")
+class SeenProcessor(StatefulProcessor):
+    """Lets the first row of a key through, and again once the key has not been seen for the horizon (processing time). Late
+    rows are not special: a key without state is new."""
 
+    def __init__(self, hours: int, columns: list[str]):
+        self.hours, self.columns = hours, columns
 
-def upsert_sink(stream: DataFrame, log: ListingLog, checkpoint: str, every: int | None = None, history: DataFrame | None = None, on_batch=()) -> StreamingQuery:
-    """Each micro-batch: drop what history knows, keep the last row per fingerprint, append it to the listing log under the
-    batch id. A replayed batch rewrites its own folder, so the result does not change. `on_batch`: further sinks."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at long", ttlDurationMs=self.hours * 3_600_000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known, first = self.seen.exists(), None
+        for part in rows:  # one batch at a time; only the earliest row is held
+            head = part.sort_values("arrival_seq", kind="stable").iloc[[0]]
+            if first is None or head["arrival_seq"].iloc[0] < first["arrival_seq"].iloc[0]:
+                first = head
+        self.seen.update((1,))
+        if not known and first is not None:
+            yield first[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def _first_sighting(stream: DataFrame, key: Column, hours: int) -> DataFrame:
+    out = stream.schema
+    return stream.withColumn("seen_key", key).groupBy("seen_key").transformWithStateInPandas(
+        SeenProcessor(hours, out.names), out, "Append", "ProcessingTime")
+
+
+def drop_seen(stream: DataFrame, hours: int = 24) -> DataFrame:
+    """First sighting per listing id, then per canonical URL among the survivors, as the batch rule has it. State is one flag
+    per key and leaves after `hours` without a sighting; what comes back later is for the sink's history joins. Rows without
+    an id are judged by URL only. Needs the RocksDB state store."""
+    has_id = F.coalesce("source_listing_id", F.lit("")) != ""
+    own = F.when(has_id, F.concat_ws(":", F.lit("id"), "source", "source_listing_id")).otherwise(F.concat_ws(":", F.lit("row"), c("arrival_seq").cast("string")))
+    once = _first_sighting(with_canonical_url(stream), own, hours)
+    return _first_sighting(once, F.concat(F.lit("url:"), F.coalesce("url_canonique", F.lit(""))), hours)
+
+
+History = DataFrame | Callable[[], DataFrame] | None
+
+
+def upsert_sink(stream: DataFrame, log: ListingLog, checkpoint: str, every: int | None = None, history: History = None, on_batch=()) -> StreamingQuery:
+    """Each micro-batch: drop what history knows, keep the last row per fingerprint, append it to the listing log under this
+    query's run and the batch id. A replayed batch rewrites its own folder, so the result does not change; a query with a new
+    checkpoint is a new run and leaves earlier ones alone. `history` as a function is read anew for every batch (a frame made
+    once keeps the files it was made with). `on_batch`: further sinks."""
+    runs: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if not runs:  # Spark keeps the query's id in its checkpoint
+            meta = log.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
+            runs.append(log.run(json.loads(meta)["id"]))
         rows = batch
-        if history is not None:
-            rows = drop_known_urls(drop_known_ids(rows, history), history)
-        rows = last_per_fingerprint(rows)
-        log.append(rows, batch_id)
+        known = history() if callable(history) else history
+        if known is not None:
+            rows = drop_known_urls(drop_known_ids(rows, known), known)
+        rows = last_per_fingerprint(rows).withColumn("updated_at", F.current_timestamp())
+        log.append(rows, batch_id, runs[0])
         if on_batch:
-            written = log.spark.read.parquet(f"{log.path}/batch_id={batch_id}")
+            written = log.spark.read.parquet(log.folder(batch_id, runs[0]))
             for sink in on_batch:
                 sink(written, batch_id)
 
@@ -64,11 +106,11 @@ class ChangeProcessor(StatefulProcessor):
     the threshold, price below 95 % of the last one, or ten points more than the last score; an already notified listing is
     otherwise silent."""
 
-    def __init__(self, min_score: int = 60):
-        self.min_score = min_score
+    def __init__(self, min_score: int = 60, days: int = 90):
+        self.min_score, self.days = min_score, days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "prix int, score int, notified boolean")
+        self.last = handle.getValueState("last", "prix int, score int, notified boolean", ttlDurationMs=self.days * 86_400_000)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else None
@@ -96,10 +138,11 @@ class ChangeProcessor(StatefulProcessor):
         pass
 
 
-def change_alerts(stream: DataFrame, min_score: int = 60) -> DataFrame:
-    """Stateful change detection per fingerprint (needs the RocksDB state store)."""
+def change_alerts(stream: DataFrame, min_score: int = 60, days: int = 90) -> DataFrame:
+    """Stateful change detection per fingerprint; the state of a listing not seen for `days` expires (needs the RocksDB state
+    store)."""
     return stream.select("fingerprint", "arrival_seq", "prix", "score_total").groupBy("fingerprint").transformWithStateInPandas(
-        ChangeProcessor(min_score), "fingerprint string, arrival_seq long, reason string, prix int, score_total int", "Append", "None")
+        ChangeProcessor(min_score, days), "fingerprint string, arrival_seq long, reason string, prix int, score_total int", "Append", "ProcessingTime")
 
 
 def pending(log: ListingLog, min_score: int = 40) -> DataFrame:

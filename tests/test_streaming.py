@@ -34,6 +34,41 @@ def test_drop_seen(spark, tmp_path):
     assert sorted(r.source_listing_id for r in spark.table("seen").collect()) == ["x", "y", "z"]
 
 
+def test_fresh_checkpoint_and_compaction_keep_earlier_rows(spark, tmp_path):
+    folder, log = str(tmp_path / "in"), ListingLog(spark, str(tmp_path / "log"))
+    _file(spark, folder, [(1, "x", 10, 50)])
+    upsert_sink(scan_stream(spark, folder, SCHEMA, 1), log, str(tmp_path / "ck1")).awaitTermination(120)
+    small = log.compact(str(tmp_path / "compact"))
+    again = str(tmp_path / "in2")
+    _file(spark, again, [(2, "y", 20, 60), (3, "x", 9, 50)])
+    for target, ck in ((log, "ck2"), (small, "ck3")):
+        upsert_sink(scan_stream(spark, again, SCHEMA, 1), target, str(tmp_path / ck)).awaitTermination(120)
+        assert {(r.fingerprint, r.prix) for r in target.current().collect()} == {("fx", 9), ("fy", 20)}
+        assert target.versions().count() == 3
+
+
+def test_history_is_read_anew_for_every_batch(spark, tmp_path):
+    folder, log = str(tmp_path / "in"), ListingLog(spark, str(tmp_path / "log"))
+    for rows in ([(1, "x", 10, 50)], [(2, "x", 9, 55), (3, "y", 20, 70)]):
+        _file(spark, folder, rows)
+    seed = spark.createDataFrame([], SCHEMA)
+    known = lambda: log.versions().select(*seed.columns) if log.runs() else seed
+    upsert_sink(scan_stream(spark, folder, SCHEMA, 1), log, str(tmp_path / "ck"), history=known).awaitTermination(180)
+    assert {(r.fingerprint, r.prix) for r in log.versions().collect()} == {("fx", 10), ("fy", 20)}
+
+
+def test_drop_seen_keeps_late_rows_and_checks_both_keys(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    stamp = lambda day: f"2024-01-{day:02d} 00:00:00"
+    rows = [(1, "a", "u1", stamp(9)), (2, "b", "u2", stamp(1)), (3, "c", "u1", stamp(9)), (4, "a", "u9", stamp(9))]
+    for seq, lid, url, at in rows:
+        one = spark.createDataFrame([(f"f{seq}", seq, "s", lid, url, 1, 1)], "fingerprint string, arrival_seq long, source string, source_listing_id string, url string, prix int, score_total int")
+        one.withColumns({"scraped_at": F.lit(at).cast("timestamp"), "created_at": F.lit(at).cast("timestamp"), "notified": F.lit(False)}).coalesce(1).write.mode("append").parquet(folder)
+    q = drop_seen(scan_stream(spark, folder, SCHEMA, 1)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert sorted(r.arrival_seq for r in spark.table("late").collect()) == [1, 2]
+
+
 def test_change_alerts(spark, tmp_path):
     folder = str(tmp_path / "in")
     for rows in ([(1, "x", 2000, 60), (2, "y", 2000, 50)], [(3, "x", 1900, 65), (4, "y", 2000, 61)], [(5, "x", 1800, 65), (6, "y", 2000, 71)]):
