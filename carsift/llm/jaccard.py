@@ -21,15 +21,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carsift.llm.scratch import written
-from carsift.llm.tiles import candidate_tiles, tile_classes
+from carsift.llm.tiles import BITS, candidate_tiles, may_link, tile_classes
 from carsift.llm.words import Reader, Slice, mix
 
-BITS = 1024
-
 
 class Bands:
     """Band edges and the number of parts for linked sets whose smaller one lies in a band. t = num / den."""
@@ -134,13 +132,6 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["u", "v", "shared"])
 
 
-def _may_link(na: str, nb: str, xa: str, xb: str, num: int, den: int) -> Column:
-    """Overlap is at most (na + nb - differing bits) / 2; linked sets overlap in num / (num + den) of na + nb at least."""
-    differ = sum((F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    total = F.col(na) + F.col(nb)
-    return (total - differ) * (num + den) >= 2 * num * total
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
     """Pairs (u, v) of documents whose sets are similar enough, by exact intersection."""
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -167,7 +158,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
     tiles = candidate_tiles(sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
     shown = some.select("doc_id", "ka", "kb", "n_shingles", "bits").join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
     signs = written(shown.withColumnRenamed("doc_id", "id").join(tiles.select("id").distinct(), "id", "left_semi"), "signs")
-    close = _may_link("a_n_shingles", "b_n_shingles", "a_bits", "b_bits", num, den)
+    close = may_link("a_n_shingles", "b_n_shingles", "a_bits", "b_bits", num, den)
     final = tile_classes(tiles, signs.select("id", "n_shingles", "bits"), close, lambda pairs: _linked(pairs, plain, signs, n, num, den, kind))
     named = stand.join(final, F.col("doc_id") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "doc_id").alias("__class"))
     set_of = profiles.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("ka")).alias("ka"), F.when(F.col("n_shingles") > 0, F.col("kb")).alias("kb"))

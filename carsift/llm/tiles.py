@@ -16,6 +16,20 @@ from carsift.llm.components import components
 from carsift.llm.scratch import written
 
 
+BITS = 1024
+
+
+def may_link(na: str, nb: str, xa: str, xb: str, num: int, den: int) -> Column:
+    """A condition that sets of similarity num / den always meet, from hashed bitmaps (arrays of BITS / 64 longs).
+
+    Sets differ in at least as many elements as their bitmaps in bits, so they share (na + nb - bits) / 2 elements at most;
+    sets as similar as asked share num / (num + den) of na + nb. Sizes may be bounds from above.
+    """
+    differ = sum((F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    total = F.col(na) + F.col(nb)
+    return (total - differ) * (num + den) >= 2 * num * total
+
+
 def candidate_tiles(members: DataFrame) -> DataFrame:
     """(key, id) -> (key, id, lead) for tiles of two items or more; lead is the tile's smallest id."""
     tile = Window.partitionBy("key")
