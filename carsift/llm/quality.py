@@ -58,32 +58,34 @@ def _measured_batches(batches, text: str, keep_text: bool):
     letter = upper | ((byte >= 97) & (byte <= 122)) | (byte >= 0xC3)
     leads = reader.is_word & ((byte & 0xC0) != 0x80)
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
-        out = {m: np.zeros(batch.num_rows, np.int64) for m in MEASURES}
-        for s in reader.slices(texts):
-            at = slice(s.lo, s.hi)
-            out["n_words"][at] = s.count
+        at = batch.schema.get_field_index(text)
+        keep = [i for i, n in enumerate(batch.schema.names) if keep_text or i != at]
+        names = [batch.schema.names[i] for i in keep] + MEASURES
+        for s in reader.slices(batch.column(at)):
+            rows = s.hi - s.lo
+            out = {"n_words": s.count}
             for name, table in (("word_chars", leads), ("n_symbols", symbol), ("n_upper", upper), ("n_letters", letter), ("n_digits", digit)):
-                out[name][at] = sums(table[s.data], s.offsets)
-            h, first = s.windows(3)
-            if len(h):
-                h = h ^ (s.row[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                order = np.argsort(h, kind="stable")
-                ranked = h[order]
-                same = ranked[1:] == ranked[:-1]
-                twice = np.zeros(len(h), bool)
-                twice[order[1:][same]] = True
-                twice[order[:-1][same]] = True
-                covered = np.zeros(len(s.hash), bool)
-                hit = first[twice]
-                for k in range(3):
-                    covered[hit + k] = True
-                out["n_repeat_words"][at] = np.bincount(s.row[covered], minlength=s.hi - s.lo)
-        for i, whole in enumerate(texts):
-            full = [x for x in (whole.as_py() or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-            out["n_lines"][i], out["n_dup_lines"][i] = len(full), len(full) - len(set(full))
-        keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if keep_text or n != text]
-        yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(out[m], pa.int64()) for m in MEASURES], [n for n, _ in keep] + MEASURES)
+                out[name] = sums(table[s.data], s.offsets)
+            out["n_repeat_words"] = _repeated(s)
+            lines = [[x for x in (t.as_py() or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in batch.column(at).slice(s.lo, rows)]
+            out["n_lines"] = np.array([len(x) for x in lines], np.int64)
+            out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in lines], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(s.lo, rows) for i in keep] + [pa.array(out[m], pa.int64()) for m in MEASURES], names)
+
+
+def _repeated(s) -> np.ndarray:
+    """Words of each row that stand in a three-word window found twice or more in it."""
+    h, first = s.windows(3)
+    h = h ^ (s.row[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    covered = np.zeros(len(s.hash), bool)
+    for k in range(3):
+        covered[first[twice] + k] = True
+    return np.bincount(s.row[covered], minlength=s.hi - s.lo).astype(np.int64)
 
 
 def ledger(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18  # keeps the arrays of a slice to a few MB
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
