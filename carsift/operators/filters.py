@@ -122,23 +122,33 @@ def active_searches(searches: DataFrame) -> DataFrame:
     return searches.filter(F.coalesce("enabled", F.lit(True))).withColumn("search_source", F.explode(sources))
 
 
-def match_searches(df: DataFrame, searches: DataFrame) -> DataFrame:
-    """Listing x search: equal source and brand, model contained in the title, values inside the search ranges. The join is
-    an equi join with residual ranges; the search table is small, so its size statistics make Catalyst broadcast it."""
-    s = searches.select(
-        c("search_source").alias("source"), F.lower("marque").alias("_marque"), F.lower("modele").alias("_modele"),
-        c("name").alias("search"), *[c(x).alias("_" + x) for x in ("prix_min", "prix_max", "km_min", "km_max", "annee_min", "annee_max")],
-        c("carburant").alias("_fuel"), c("particulier_only").alias("_private"))
-
-    def between(col: str, name: str) -> Column:
-        low, high = F.nullif(c(f"_{name}_min"), F.lit(0)), F.nullif(c(f"_{name}_max"), F.lit(0))
-        return F.coalesce(c(col) >= low, low.isNull()) & F.coalesce(c(col) <= high, high.isNull())
-
-    cond = (between("prix", "prix") & between("kilometrage", "km") & between("annee", "annee")
-            & (c("_fuel").isNull() | (c("carburant") == c("_fuel"))) & (~c("_private") | (c("seller_type") == "particulier"))
-            & F.contains(F.lower("titre"), c("_modele")))
-    joined = df.withColumn("_marque", F.lower("marque")).join(s, ["source", "_marque"]).filter(cond)
-    return joined.drop(*[n for n in joined.columns if n.startswith("_")])
+def match_searches(df: DataFrame, searches: list[dict] | None = None, every: bool = False) -> DataFrame:
+    """Listing x search: equal source and brand, model contained in the title, values inside the search ranges. Unrolled from
+    the dictionary, so listings are neither shuffled nor joined. Disabled searches count only with `every`."""
+    def between(col: str, low, high) -> Column:
+        """An absent or zero bound is open; a bounded value must be present."""
+        ok = F.lit(True)
+        ok = ok & (c(col) >= low) if low else ok
+        return ok & (c(col) <= high) if high else ok
+
+    def meets(s: dict) -> Column:
+        ok = c("source").isin(s.get("sources") or [s["source"]]) & (F.lower("marque") == s["marque"].lower())
+        ok = ok & F.contains(F.lower("titre"), F.lit(s["modele"].lower()))
+        for col, name in (("prix", "prix"), ("kilometrage", "km"), ("annee", "annee")):
+            ok = ok & between(col, s.get(name + "_min"), s.get(name + "_max"))
+        if s.get("carburant"):
+            ok = ok & (c("carburant") == s["carburant"])
+        return ok & (c("seller_type") == "particulier") if s.get("particulier_only") else ok
+
+    used = [s for s in (searches or builtin("searches")["searches"]) if every or s.get("enabled", True)]
+    hits = F.array_compact(F.array(*[F.when(meets(s), s["name"]) for s in used])) if used else F.array().cast("array<string>")
+    return df.withColumn("search", F.explode(hits))
+
+
+def department_tier(targets: dict | None = None) -> Column:
+    """Tier of the department, NULL outside all tiers."""
+    tiers = (targets or builtin("targets"))["department_tiers"]
+    return F.coalesce(*[F.when(c("departement").isin(list(ds)), int(t)) for t, ds in tiers.items()])
 
 
 def enum_problems(df: DataFrame, columns: list[str]) -> DataFrame:

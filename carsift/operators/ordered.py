@@ -18,7 +18,9 @@ def lag_by_key(df: DataFrame, keys: list[str], order: str, bucket: Column, value
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
     packed = F.struct(F.col(order).alias("_o"), *values)
     rows = b.withColumn("_lag", F.lag(packed).over(inside))
-    last = b.groupBy(*keys, "_bucket").agg(F.max(packed).alias("_last"))
+    # from the windowed rows, which lie together by key and bucket already: the input is computed and shuffled once
+    ends = rows.withColumn("_next", F.lead(F.col(order)).over(inside)).where(F.col("_next").isNull())
+    last = ends.select(*keys, "_bucket", packed.alias("_last"))
     across = W.partitionBy(*keys).orderBy("_bucket")
     carry = last.withColumn("_carry", F.lag("_last").over(across)).filter(F.col("_carry").isNotNull()).select(*keys, "_bucket", "_carry")
     # only the first row of each bucket needs the carried value; the others already have theirs

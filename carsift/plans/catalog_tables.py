@@ -158,13 +158,12 @@ def _search_sql(all_rows):
 
 @query("B11_active_searches", SQ(_search_sql(False)))
 def _(spark, folder):
-    return filters.match_searches(raw(spark, folder), filters.active_searches(dic.dim_search(spark))).select(KEY, "search")
+    return filters.match_searches(raw(spark, folder)).select(KEY, "search")
 
 
 @query("C6_listing_search_range", SQ(_search_sql(True)))
 def _(spark, folder):
-    every = filters.active_searches(dic.dim_search(spark).withColumn("enabled", F.lit(True)))
-    return filters.match_searches(raw(spark, folder), every).select(KEY, "search")
+    return filters.match_searches(raw(spark, folder), every=True).select(KEY, "search")
 
 
 @query("B12_score_threshold", SQ("SELECT arrival_seq, score_rentabilite FROM v1 WHERE score_rentabilite >= 40", CLASSIC_SQL))
@@ -385,13 +384,12 @@ _TIERS = " ".join(f"WHEN departement IN ({', '.join(R.q(d) for d in ds)}) THEN {
 
 @query("C10_department_tier", SQ(f"SELECT arrival_seq, CASE {_TIERS} END AS tier FROM src"))
 def _(spark, folder):
-    return raw(spark, folder).join(dic.dim_department_tier(spark), "departement", "left").select(KEY, "tier")
+    return raw(spark, folder).select(KEY, filters.department_tier().alias("tier"))
 
 
 @query("C12_detail_sources", SQ("SELECT source, count(*) AS n FROM src WHERE source IN ('autoscout24', 'lacentrale') GROUP BY source"))
 def _(spark, folder):
-    available = spark.createDataFrame([("autoscout24",), ("lacentrale",)], "source string")
-    return raw(spark, folder).join(available, "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+    return raw(spark, folder).where(c("source").isin("autoscout24", "lacentrale")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("C13_known_keys", SQ("SELECT arrival_seq FROM batch WHERE fingerprint IN (SELECT fingerprint FROM hist)", IDS, HIST))

@@ -53,11 +53,6 @@ def dim_vehicle_exclusion(spark: SparkSession, targets: dict | None = None) -> D
     return spark.createDataFrame(rows, "vehicle_id string, text string")
 
 
-def dim_department_tier(spark: SparkSession, targets: dict | None = None) -> DataFrame:
-    tiers = (targets or builtin("targets"))["department_tiers"]
-    return spark.createDataFrame([(d, int(t)) for t, ds in tiers.items() for d in ds], "departement string, tier int")
-
-
 def dim_keyword(spark: SparkSession, keywords: dict | None = None) -> DataFrame:
     kw = keywords or builtin("keywords")
     rows = []
