@@ -76,18 +76,16 @@ def dedup_by_hash(df: DataFrame, content_hash: Column) -> DataFrame:
 
 
 def near_duplicates(batch: DataFrame, history: DataFrame, created: str = "created_at", cols: list[str] | None = None) -> DataFrame:
-    """Adds `near`: the newest history row with the same soft fingerprint that is not the row itself (NULL if none).
+    """Adds `near`: the newest history row with the same soft fingerprint (NULL if none, or if the soft fingerprint is blank).
+    A batch row is never part of history, so a listing seen before finds its own stored row.
 
-    At most two history rows per soft fingerprint leave each map task: the newest, and the one behind it for the case that
-    the newest is the row itself. The join sees one small row per key; AQE splits hot keys of the batch side.
+    One history row per soft fingerprint leaves each map task; the join sees one small row per key, and AQE splits hot keys of
+    the batch side.
     """
     cols = cols or ["fingerprint", "prix", "score_total", "notified"]
-    newest = first_per_key(history.select("fingerprint_soft", SEQ, created, *cols), F.col("fingerprint_soft"),
-                           [F.col(created).desc(), F.col(SEQ).desc()], k=2)
-    pairs = newest.groupBy("fingerprint_soft").agg(F.array_sort(F.collect_list(F.struct("_rn", *cols))).alias("_c"))
-    others = F.filter("_c", lambda x: x["fingerprint"] != F.col("fingerprint"))
-    first = F.get(F.transform(others, lambda x: F.struct(*[x[n].alias(n) for n in cols])), F.lit(0))
-    return batch.join(pairs, "fingerprint_soft", "left").withColumn("near", first).drop("_c")
+    known = history.select("fingerprint_soft", SEQ, created, *cols).filter(blank_if_null("fingerprint_soft") != "")
+    newest = first_per_key(known, F.col("fingerprint_soft"), [F.col(created).desc(), F.col(SEQ).desc()])
+    return batch.join(newest.select("fingerprint_soft", F.struct(*cols).alias("near")), "fingerprint_soft", "left")
 
 
 def seen_recently(history: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

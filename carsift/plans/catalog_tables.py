@@ -262,7 +262,7 @@ def _(spark, folder):
     return dedup.new_listings(after(df), before(df)).select(KEY, "source")
 
 
-NEAR_SQL = ("newest AS (SELECT b.arrival_seq AS bseq, h.fingerprint AS nfp, h.prix AS nprix, h.score_total AS nscore, h.notified AS nnot FROM batch b JOIN hist h ON h.fingerprint_soft = b.fingerprint_soft AND h.fingerprint <> b.fingerprint "
+NEAR_SQL = ("newest AS (SELECT b.arrival_seq AS bseq, h.fingerprint AS nfp, h.prix AS nprix, h.score_total AS nscore, h.notified AS nnot FROM batch b JOIN hist h ON h.fingerprint_soft = b.fingerprint_soft AND b.fingerprint_soft <> '' "
             "QUALIFY row_number() OVER (PARTITION BY b.arrival_seq ORDER BY h.created_at DESC, h.arrival_seq DESC) = 1)")
 
 

@@ -1,6 +1,7 @@
 """Deduplication, order-dependent operators and the listing log against brute force on small, skewed fixtures."""
 
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,12 @@ def test_json_profiles(spark):
     cen = '<script>window.__INITIAL_STATE__ = {"results":[{"id":7,"price":"1 800 €","vehicle":{"make":"Renault","mileage":{"value":90000},"year":2010},"location":{"zipCode":"94000"}}]};</script>'
     r = extract_listings(spark.createDataFrame([(1, cen)], "page_id long, html string"), "lacentrale").collect()
     assert [(x.source_listing_id, x.prix, x.kilometrage, x.annee, x.departement) for x in r] == [("7", 1800, 90000, 2010, "94")]
+
+
+def test_near_duplicate_finds_the_stored_row_itself(spark):
+    schema = "arrival_seq long, fingerprint string, fingerprint_soft string, created_at timestamp, prix int, score_total int, notified boolean"
+    at = lambda h: datetime(2024, 1, 1, h)
+    hist = spark.createDataFrame([(1, "f1", "s1", at(1), 10, 50, True), (2, "f2", "s1", at(2), 11, 51, False), (3, "f3", "", at(3), 1, 1, True)], schema)
+    batch = spark.createDataFrame([(10, "f2", "s1", at(5), 9, 50, False), (11, "f9", "s9", at(5), 9, 50, False), (12, "f3", "", at(5), 9, 50, False)], schema)
+    got = {r.arrival_seq: r.near and r.near.fingerprint for r in dedup.near_duplicates(batch, hist).collect()}
+    assert got == {10: "f2", 11: None, 12: None}
