@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The terms are those whose presence goes with the label (chi-square over the labelled sample). The examples are indexed by
+The terms are those whose presence goes with the label (chi-square and lift over the labelled sample). The examples are indexed by
 term: postings lie in blocks, each with its largest weight, so a block's best possible cosine is known before it is opened.
 Blocks are opened in the order of that bound until none left can reach the k-th best; the neighbours found are exact. They
 vote by inverse distance; a logistic curve fitted on leave-one-out votes of the examples turns votes into probabilities. The
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"\p{L}+")
 NONLETTERS = r"[^\p{L}]+"
 BLOCK = 64
-CHI_SQUARE = 10.83  # one chance in a thousand per term
+CHI_SQUARE = 40.0   # so high that none of a million unrelated terms is expected to reach it
+LIFT = 3.0          # toxic share among documents with the term, over that among all
 EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_terms: i
     off = a * (n0 - (df - a)) - (df - a) * (n1 - a)
     chi = F.lit(float(n)) * off * off / (df * (F.lit(float(n)) - df) * n1 * n0)
     counted = terms.groupBy("t").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    top = counted.where((df >= 3) & (df < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "t").limit(max_terms).collect() if 0 < n_toxic < n else []
+    top = counted.where((df >= 3) & (df < n) & (a * n >= LIFT * df * n_toxic)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "t").limit(max_terms).collect() if 0 < n_toxic < n else []
     idf = {r["t"]: 1 + math.log((1 + n) / (1 + r["df"])) for r in top}
     probe = Index(idf, np.zeros(0), np.zeros(0), [], k)
 
