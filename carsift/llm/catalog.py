@@ -63,7 +63,41 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                        quality.failed(quality.BASE).alias("base_failed"), quality.kept("v1").alias("kept"))
 
 
-@query("op4_license_scan")
+FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _template_rows() -> str:
+    rows = []
+    for t, (text, label) in enumerate([*licenses.PHRASES, *licenses.NOTICES]):
+        w = text.split()
+        k = min(3, len(w))
+        for i in range(len(w) - k + 1):
+            third = f"'{w[i + 2]}'" if k == 3 else "NULL"
+            rows.append(f"({t}, {t < len(licenses.PHRASES)}, '{label}', {len(w) - k + 1}, {i}, '{w[i]}', '{w[i + 1]}', {third})")
+    return ", ".join(rows)
+
+
+OP4_SQL = rf"""
+WITH tpl(t, exact, label, grams, at_, w0, w1, w2) AS (VALUES {_template_rows()}),
+w AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS i FROM w),
+g AS (SELECT doc_id, i, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, t, exact, label, grams, at_, i - at_ AS d FROM g JOIN tpl ON g.w0 = tpl.w0 AND g.w1 = tpl.w1 AND (tpl.w2 IS NULL OR g.w2 = tpl.w2)),
+whole AS (SELECT doc_id, label, true AS exact, d, 1.0::DOUBLE AS cover FROM h WHERE exact GROUP BY doc_id, label, grams, t, d HAVING count(DISTINCT at_) = grams),
+n0 AS (SELECT DISTINCT doc_id, t, d FROM h WHERE NOT exact),
+n1 AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, t ORDER BY d) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM n0),
+n2 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d) AS span FROM n1),
+near AS (SELECT doc_id, label, false AS exact, min(d) AS d, count(DISTINCT at_) / grams AS cover FROM n2 JOIN h USING (doc_id, t, d)
+         GROUP BY doc_id, t, label, grams, span HAVING count(DISTINCT at_) / grams >= {licenses.COVER}),
+f AS (SELECT * FROM whole UNION ALL SELECT * FROM near),
+a AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(d) FILTER (exact) AS first_word, max(d) FILTER (exact) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op4_license_scan", OP4_SQL)
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -82,12 +116,35 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(coded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op7_ngram_jaccard_join")
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], chr(1)) AS g FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM k JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.y, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x) m USING (doc_id)
+"""
+
+
+@query("op7_ngram_jaccard_join", OP7_SQL)
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"), n=3, num=9, den=10)
 
 
-@query("op9_substring_dedup")
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM w, unnest(range(1, len(w) - 48)) AS u(i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS lo FROM v) WHERE lo < doc_id),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM m, unnest(range(50)) AS u(j)),
+p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), size=50)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
