@@ -83,19 +83,42 @@ def _tile_keys(u: np.ndarray, scheme: int, p: int, differ: int) -> np.ndarray:
     return key[full] if p - int(full.sum()) < p - differ else key
 
 
-def _profiles(n: int, num: int, den: int):
+def _set_key(u: np.ndarray) -> int:
+    return int(np.sum(mix(u + np.uint64(1)), dtype=np.uint64).view(np.int64))
+
+
+def _profiles(n: int):
     def run(batches):
         reader = Reader(fold_case=True)
-        bands = Bands(num, den, 1 << 20)
         for batch in batches:
             for s in reader.slices(batch.column(1)):
-                size, a, b, keys, bits = [], [], [], [], []
+                size, a, b, bits = [], [], [], []
                 for u in _sets(s, n):
                     size.append(len(u))
-                    a.append(int(np.sum(mix(u + np.uint64(1)), dtype=np.uint64).view(np.int64)))
+                    a.append(_set_key(u))
                     b.append(int(np.sum(mix(u ^ np.uint64(0x5BD1E9955BD1E995)), dtype=np.uint64).view(np.int64)))
+                    flags = np.zeros(BITS, np.uint8)
+                    flags[(mix(u ^ np.uint64(77)) % np.uint64(BITS)).astype(np.int64)] = 1
+                    bits.append(np.packbits(flags).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                     pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "ka", "kb", "bits"])
+
+    return run
+
+
+def _keys(n: int, num: int, den: int):
+    """Tile keys of each text whose set is the one that stands for its doc_id."""
+
+    def run(batches):
+        reader = Reader(fold_case=True)
+        bands = Bands(num, den, 1 << 20)
+        for batch in batches:
+            for s in reader.slices(batch.column(1)):
+                keys = []
+                for u, wanted in zip(_sets(s, n), batch.column(2).slice(s.lo, s.hi - s.lo)):
                     own = []
-                    if len(u):
+                    if len(u) and _set_key(u) == wanted.as_py():
                         if len(u) >= bands.edges[-2]:
                             bands = Bands(num, den, 2 * len(u))
                         band = bands.of(len(u))
@@ -104,12 +127,7 @@ def _profiles(n: int, num: int, den: int):
                             if p:
                                 own.append(_tile_keys(u, scheme, p, differ))
                     keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                    flags = np.zeros(BITS, np.uint8)
-                    flags[(mix(u ^ np.uint64(77)) % np.uint64(BITS)).astype(np.int64)] = 1
-                    bits.append(np.packbits(flags).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "ka", "kb", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
     return run
 
@@ -120,7 +138,7 @@ def _arrays(n: int):
         for batch in batches:
             for s in reader.slices(batch.column(1)):
                 sets = _sets(s, n)
-                a = [int(np.sum(mix(u + np.uint64(1)), dtype=np.uint64).view(np.int64)) for u in sets]
+                a = [_set_key(u) for u in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(a, pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["doc_id", "ka", "sorted"])
 
     return run
@@ -150,16 +168,17 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row; similarity num / den or more."""
     plain = docs.select("doc_id", "text")
     kind = dict(plain.dtypes)["doc_id"]
-    profiles = written(plain.mapInArrow(_profiles(n, num, den), f"doc_id {kind}, n_shingles long, ka long, kb long, keys array<long>, bits array<long>"), "profiles")
+    profiles = written(plain.mapInArrow(_profiles(n), f"doc_id {kind}, n_shingles long, ka long, kb long, bits array<long>"), "profiles")
     some = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     equal = some.groupBy("ka", "kb").agg(F.min("doc_id").alias("doc_id"))
     stand = written(equal.groupBy("doc_id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("doc_id", "k.ka", "k.kb"), "stand")
-    sets = some.join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
-    tiles = candidate_tiles(sets.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
+    keyed = plain.join(stand.select("doc_id", "ka"), "doc_id").mapInArrow(_keys(n, num, den), f"id {kind}, keys array<long>")
+    tiles = candidate_tiles(keyed.select("id", F.explode("keys").alias("key")))
+    texts = written(plain.join(tiles.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     shown = some.select("doc_id", "ka", "kb", "n_shingles", "bits").join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
     signs = written(shown.withColumnRenamed("doc_id", "id").join(tiles.select("id").distinct(), "id", "left_semi"), "signs")
     close = may_link("a_n_shingles", "b_n_shingles", "a_bits", "b_bits", num, den)
-    final = tile_classes(tiles, signs.select("id", "n_shingles", "bits"), close, lambda pairs: _linked(pairs, plain, signs, n, num, den, kind))
+    final = tile_classes(tiles, signs.select("id", "n_shingles", "bits"), close, lambda pairs: _linked(pairs, texts, signs, n, num, den, kind))
     named = stand.join(final, F.col("doc_id") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "doc_id").alias("__class"))
     set_of = profiles.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("ka")).alias("ka"), F.when(F.col("n_shingles") > 0, F.col("kb")).alias("kb"))
     return set_of.join(named, ["ka", "kb"], "left").select(
