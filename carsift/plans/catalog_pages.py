@@ -65,6 +65,31 @@ def _(spark, folder):
     return _run(spark, folder, "leboncoin").select(c("source_listing_id").alias("id"), "titre", "prix", "kilometrage", "annee", "departement", "marque", "modele")
 
 
+_OLDER = ("SELECT 'https://www.leboncoin.fr/ad/voitures/' || arrival_seq || '.htm' AS url, titre, prix, CASE WHEN departement = '' THEN NULL ELSE departement || '100' END AS code_postal, annee, kilometrage, "
+          "CASE WHEN n_images % 2 = 0 THEN carburant END AS carburant, CASE WHEN seller_type = 'particulier' THEN 'particulier' ELSE 'pro' END AS type_vendeur, n_images % 3 AS images, "
+          "CASE WHEN n_images % 4 <> 3 THEN epoch(published_at)::BIGINT END AS published_s, description FROM src")
+
+
+@query("A12b_leboncoin_older_ads", f"WITH {R.SRC} {_OLDER}")
+def _(spark, folder):
+    """Ads with absent attributes, both date fields, and images as an object of texts or objects, as a list, or absent."""
+    df = listings_from_orders(spark, folder)
+    n = c("n_images")
+    attrs = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))) for k, v in (
+        ("mileage", F.concat(c("kilometrage").cast("string"), F.lit(" km"))), ("regdate", F.concat(F.lit("05/"), c("annee").cast("string"))),
+        ("fuel", F.when(n % 2 == 0, c("carburant"))))]))
+    stamp = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    images = F.when(n % 3 == 2, F.lit('{"urls_thumb": ["a.jpg", {"urls": {"default": "b.jpg"}}]}')).when(n % 3 == 1, F.lit('[{"url": "a.jpg"}]'))
+    ad = F.struct(c(KEY).cast("string").alias("list_id"), c("titre").alias("subject"), F.array("prix").alias("price"), attrs.alias("attributes"),
+                  F.struct(F.when(c("departement") != "", F.concat("departement", F.lit("100"))).alias("zipcode"), "departement").alias("location"),
+                  F.when(n % 4 == 0, stamp).alias("first_publication_date"), F.when(n % 4 != 3, stamp).alias("index_date"),
+                  F.when(c("seller_type") == "particulier", "private").otherwise("pro").alias("owner_type"), c("description").alias("body"))
+    raw = F.concat(F.lit('{"images": '), F.coalesce(images, F.lit("null")), F.lit(", "), F.substring(F.to_json(ad), 2, 1 << 30))
+    rows = ex.project_leboncoin_older(df.select(raw.alias("raw")))
+    return rows.select("url", "titre", "prix", "code_postal", "annee", "kilometrage", "carburant", "type_vendeur", F.size("images_urls").alias("images"),
+                       F.unix_seconds("date_publication").alias("published_s"), "description")
+
+
 @query("A14_paruvendu_cards", f"WITH {R.SRC} SELECT DISTINCT ON (arrival_seq) 'P' || lpad(CAST(arrival_seq AS VARCHAR), 20, '0') AS id, 'Annonce ' || titre AS titre, prix, kilometrage, coalesce(annee, CASE WHEN prix BETWEEN 1980 AND 2029 THEN prix END) AS annee, departement FROM src")
 def _(spark, folder):
     out = _run(spark, folder, "paruvendu")
