@@ -35,8 +35,8 @@ def train_rows(docs: DataFrame, max_docs: int) -> DataFrame:
 
 
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], priors: np.ndarray):
-        self.langs, self.words, self.grams, self.priors = langs, words, grams, priors
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+        self.langs, self.words, self.grams = langs, words, grams
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency over the word's n-grams of the greatest length at which any is known."""
@@ -82,7 +82,7 @@ def fit(train: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_g
 
     by_word, by_gram = gathered(top), gathered(top_grams)
     langs = sorted({x for by in by_gram.values() for x in by})
-    return Model(langs, _centred(by_word, langs, 0.5), _centred(by_gram, langs, 0.5), np.zeros(len(langs)))
+    return Model(langs, _centred(by_word, langs, 0.5), _centred(by_gram, langs, 0.5))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

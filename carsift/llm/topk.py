@@ -26,7 +26,7 @@ SLABS = 256     # blocks are dealt by length this finely, then by a hash
 FITTED = 4096   # vectors that the rotation is fitted on
 QUERIES = 1024  # queries in a block
 STEPS = 4       # partial sums
-DENSE = 512     # pairs a query keeps before the next partial sum is not worth it
+DENSE = 512     # a query with so few pairs left in a block scores them outright
 
 
 def integers(rows: DataFrame, vector: Column, vec_id: str = "vec_id", scale: float = 1024.0) -> DataFrame:
@@ -40,7 +40,7 @@ def integers(rows: DataFrame, vector: Column, vec_id: str = "vec_id", scale: flo
 
 
 def _packed(dim: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((len(frame), dim), np.int64)
         for i, v in enumerate(frame["v"]):
             m[i, : len(v)] = v
