@@ -46,12 +46,18 @@ def public_vocabulary() -> Vocabulary:
     return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def _encode_batches(vocabulary: Vocabulary, text: str):
+def _encode_batches(vocabulary: Vocabulary, text: str, verify: bool):
+    def coded(coder, whole: str) -> bytes:
+        ids = coder.encode_ordinary(whole)
+        if verify and coder.decode_bytes(ids) != whole.encode():
+            raise ValueError("a text does not come back from its ids")
+        return np.asarray(ids, "<u4").tobytes()
+
     def run(batches):
         coder = vocabulary.encoder()
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            ids = [np.asarray(coder.encode_ordinary(x.as_py() or ""), "<u4").tobytes() for x in batch.column(at)]
+            ids = [coded(coder, x.as_py() or "") for x in batch.column(at)]
             keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(ids, pa.binary())], [n for n, _ in keep] + ["ids_le"])
 
@@ -89,14 +95,17 @@ def _pretokenised(pattern_text: str, chunk: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """All columns of docs but for the text, with ids_le (ids as little-endian unsigned 32-bit integers) and n_tokens."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, verify: bool = False) -> DataFrame:
+    """All columns of docs but for the text, with ids_le (ids as little-endian unsigned 32-bit integers) and n_tokens.
+
+    verify: every piece is decoded again where it was encoded, and a difference is an error.
+    """
     taken = {"ids_le", "n_tokens", "__row"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in taken and c != text], F.coalesce(text, F.lit("")).alias("__text"))
     rest = [c for c in docs.columns if c != "__text"]
     long = F.length("__text") > chunk
     ids = T.StructField("ids_le", T.BinaryType())
-    whole = docs.where(~long).mapInArrow(_encode_batches(vocabulary, "__text"), T.StructType([*docs.select(rest).schema.fields, ids]))
+    whole = docs.where(~long).mapInArrow(_encode_batches(vocabulary, "__text", verify), T.StructType([*docs.select(rest).schema.fields, ids]))
 
     # a row's key covers all its columns, so equal rows share pieces that are equal too
     keyed = docs.where(long).withColumn("__row", F.sha2(F.concat_ws("\u0001", F.to_json(F.struct(*rest)), "__text"), 256))
@@ -118,7 +127,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", chunk: i
         .groupBy("__row", "piece").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("bodies"))
         .select("__row", "piece", F.array_join("bodies.own", "").alias("own")).repartition("__row", "piece")
     )
-    coded = pieces.mapInArrow(_encode_batches(vocabulary, "own"), "__row string, piece long, ids_le binary")
+    coded = pieces.mapInArrow(_encode_batches(vocabulary, "own", verify), "__row string, piece long, ids_le binary")
     joined = coded.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids_le"))).alias("p")).select(
         "__row", F.expr("aggregate(p.ids_le, cast('' as binary), (a, x) -> concat(a, x))").alias("ids_le"))
     split = keyed.select(*rest, "__row").join(joined, "__row").select(*rest, "ids_le")

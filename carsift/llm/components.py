@@ -29,20 +29,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _directed(hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """edges (u, v) of any order -> (node, root) for every node that has an edge; root is its component's smallest node.
-
-    Fewer rounds than it takes leave some nodes with a root that is only some smaller node of their component.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """edges (u, v) of any order -> (node, root) for every node that has an edge; root is its component's smallest node."""
     now = written(_directed(edges), "edges")
     total = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
     before = total(now)
-    done = 0
-    while before[0] and done != rounds:
-        done += 1
+    while before[0]:
         now = written(_small_star(_large_star(now)), "edges")
         after = total(now)
-        if after == before or done == rounds:
+        if after == before:
             break
         before = after
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
