@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The terms are those whose presence goes with the label (chi-square and lift over the labelled sample). The examples are indexed by
+The terms are all terms of the labelled sample or, where it has more, the `max_terms` whose presence goes most with the label
+(largest chi-square, in either direction); there is no other test of a term. The examples are indexed by
 term: postings lie in blocks, each with its largest weight, so a block's best possible cosine is known before it is opened.
-Blocks are opened in the order of that bound until none left can reach the k-th best; the neighbours found are exact. They
-vote by inverse distance; a logistic curve fitted on leave-one-out votes of the examples turns votes into probabilities. The
+The blocks of the largest bounds give a limit, then all blocks are opened whose bound reaches it; the neighbours found are
+exact. They vote by inverse distance; a logistic curve fitted on leave-one-out votes of the examples turns votes into probabilities. The
 neighbours are returned as evidence.
 
 The fit reads a bounded sample of the labelled rows (`max_docs`, chosen by a hash of doc_id) and keeps at most `max_terms`
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"\p{L}+")
 NONLETTERS = r"[^\p{L}]+"
 BLOCK = 64
-CHI_SQUARE = 40.0   # so high that none of a million unrelated terms is expected to reach it
-LIFT = 3.0          # toxic share among documents with the term, over that among all
+HEAD = 4  # blocks opened for a first limit
 EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
@@ -38,21 +38,21 @@ class Index:
 
     def __init__(self, idf: dict[str, float], ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[str, float]], k: int):
         # examples with the same leading term lie together, so block bounds are tight
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), int(toxic[i]), int(ids[i])))
+        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=""), int(toxic[i]), int(ids[i])))
         self.idf, self.k = idf, k
         self.ids, self.toxic = np.asarray(ids, np.int64)[order], np.asarray(toxic, np.int64)[order]
-        postings: dict[str, list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings.setdefault(t, []).append((place, w))
-        self.blocks: dict[str, tuple[np.ndarray, np.ndarray]] = {}    # term -> block numbers, largest weight in each
-        self.inside: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}  # (term, block) -> examples, weights
-        for t, found in postings.items():
-            at, w = np.array([p for p, _ in found]), np.array([x for _, x in found])
-            number, start = np.unique(at // BLOCK, return_index=True)
-            for b, lo, hi in zip(number.tolist(), start, np.append(start[1:], len(at))):
-                self.inside[t, b] = (at[lo:hi] - b * BLOCK, w[lo:hi])
-            self.blocks[t] = (number, np.maximum.reduceat(w, start))
+        self.number = {t: i for i, t in enumerate(idf)}
+        term = np.array([self.number[t] for i in order for t in vectors[i]], np.int64)
+        at = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
+        by = np.argsort(term, kind="stable")
+        # postings by term and place; runs of one term in one block, with their largest weight
+        self.at, self.weight = at[by], np.array([w for i in order for w in vectors[i].values()], float)[by]
+        term, block = term[by], self.at // BLOCK
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+        self.run = np.append(start, len(term))
+        self.run_block = block[start]
+        self.run_most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(len(idf) + 1))
         self.slope, self.shift, self.empty = 1.0, 0.0, 0.0
 
     def vector(self, text: str | None) -> dict[str, float]:
@@ -61,26 +61,35 @@ class Index:
 
     def nearest(self, q: dict[str, float], but: int | None = None) -> list[tuple[float, int, int]]:
         """(similarity, doc_id, toxic) of the k most similar examples with similarity above 0."""
-        lists = [(t, w, *self.blocks[t]) for t, w in q.items() if t in self.blocks]
-        if not lists:
+        known = np.array([self.number[t] for t in q], np.int64)
+        runs, of = spans(self.first[known], self.first[known + 1])
+        if not len(runs):
             return []
-        bound = np.bincount(np.concatenate([b for _, _, b, _ in lists]), np.concatenate([w * m for _, w, _, m in lists]))
-        opened = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int, int]] = []
-        for b in opened[: int((bound > 0).sum())].tolist():
-            if len(best) >= self.k and bound[b] < -best[self.k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w, _, _ in lists:
-                if (t, b) in self.inside:
-                    at, x = self.inside[t, b]
-                    scores[at] += w * x
-            for i in np.flatnonzero(scores > 0).tolist():
-                doc = int(self.ids[b * BLOCK + i])
-                if doc != but:
-                    best.append((-round(float(scores[i]), 12), doc, int(self.toxic[b * BLOCK + i])))
-            best = sorted(best)[: self.k]
-        return [(-s, doc, y) for s, doc, y in best]
+        weight, block = np.array(list(q.values()))[of], self.run_block[runs]
+        bound = np.bincount(block, weight * self.run_most[runs])
+
+        def opened(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            some = blocks[block]
+            places, of = spans(self.run[runs[some]], self.run[runs[some] + 1])
+            scores = np.bincount(self.at[places], self.weight[places] * weight[some][of])
+            found = np.flatnonzero(scores > 0)
+            if but is not None:
+                found = found[self.ids[found] != but]
+            scores = np.round(scores[found], 12)
+            if len(found) > self.k:
+                best = scores >= np.partition(scores, -self.k)[-self.k]
+                found, scores = found[best], scores[best]
+            return found, scores
+
+        # the k-th best of the most promising blocks is a limit that the bounds of all others are held against
+        head = np.zeros(len(bound), bool)
+        head[np.argsort(-bound, kind="stable")[:HEAD]] = True
+        found, scores = opened(head)
+        least = scores.min() - 1e-9 if len(found) >= self.k else 0.0
+        if ((bound > 0) & (bound >= least) & ~head).any():
+            found, scores = opened((bound > 0) & (bound >= least))
+        first = np.lexsort((self.ids[found], -scores))[: self.k]
+        return list(zip(scores[first].tolist(), self.ids[found[first]].tolist(), self.toxic[found[first]].tolist()))
 
     def vote(self, near: list[tuple[float, int, int]]) -> float | None:
         if not near:
@@ -108,6 +117,13 @@ class Index:
         self.slope, self.shift = max(0.0, float(w[0])), float(w[1])
 
 
+def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo..hi-1, one range after the other, and the index of each one's range."""
+    length = hi - lo
+    of = np.repeat(np.arange(len(lo)), length)
+    return np.arange(len(of)) + (lo - (np.cumsum(length) - length))[of], of
+
+
 def unit(v: dict[str, float]) -> dict[str, float]:
     length = math.sqrt(sum(x * x for x in v.values()))
     return {t: x / length for t, x in v.items()} if length else {}
@@ -126,11 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_terms: i
         return Index({}, np.zeros(0), np.zeros(0), [], k)
     terms = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), NONLETTERS))).alias("t")).where("t <> ''")
     a, df, n1, n0 = F.col("a"), F.col("df"), F.lit(float(n_toxic)), F.lit(float(n - n_toxic))
-    # 2 x 2 table of term and label
-    off = a * (n0 - (df - a)) - (df - a) * (n1 - a)
-    chi = F.lit(float(n)) * off * off / (df * (F.lit(float(n)) - df) * n1 * n0)
+    # 2 x 2 table of term and label; 0 where one side of it is empty
+    off, sides = a * (n0 - (df - a)) - (df - a) * (n1 - a), df * (F.lit(float(n)) - df) * n1 * n0
+    chi = F.when(sides > 0, F.lit(float(n)) * off * off / sides).otherwise(F.lit(0.0))
     counted = terms.groupBy("t").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    top = counted.where((df >= 3) & (df < n) & (a * n >= LIFT * df * n_toxic)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "t").limit(max_terms).collect() if 0 < n_toxic < n else []
+    top = counted.withColumn("chi", chi).orderBy(F.desc("chi"), F.desc("df"), "t").limit(max_terms).collect()
     idf = {r["t"]: 1 + math.log((1 + n) / (1 + r["df"])) for r in top}
     probe = Index(idf, np.zeros(0), np.zeros(0), [], k)
 

@@ -115,6 +115,27 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(probe, empty).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("toxic", [lambda i: i % 2, lambda i: 1])
+def test_toxic_terms_are_all_indexed(spark, toxic):
+    """Half or all of the labels toxic, words of one example, mixed evidence, words of clean texts: neighbours by all terms."""
+    rng = np.random.default_rng(6)
+    words = [chr(97 + i) * 3 for i in range(26)]
+    rows = [(i, " ".join([*rng.choice(words, 6), *(["mixed"] if i % 3 else []), f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"]), toxic(i)) for i in range(120)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    index = toxicity.fit(documents(spark, [(i, t) for i, t, _ in rows]), labels)
+    assert set(index.idf) == {w for _, t, _ in rows for w in t.split()}
+    df = Counter(w for _, t, _ in rows for w in set(t.split()))
+    vector = lambda text: toxicity.unit({t: (1 + np.log(n)) * (1 + np.log(121 / (1 + df[t]))) for t, n in Counter(text.split()).items() if t in df})
+    vectors = [(i, y, vector(t)) for i, t, y in rows]
+    probes = ["mixed", "aaa bbb mixed", "onlyab", rows[7][1], "ccc zzz unknown"]
+    got = toxicity.score(documents(spark, list(enumerate(probes))), index).collect()
+    for i, text in enumerate(probes):
+        found = next(r["evidence"] for r in got if r["doc_id"] == i)
+        assert [(r["doc_id"], r["toxic"]) for r in found] == [(d, y) for _, d, y in nearest_by_force(None, vectors, vector(text), 15)]
+    few = toxicity.fit(documents(spark, [(i, t) for i, t, _ in rows]), labels, max_terms=10)
+    assert len(few.idf) == 10
+
+
 def test_mixing_meets_the_marginals(spark):
     cells = spark.createDataFrame([(s, x, t, n) for s, x, t, n in [("a", "en", "p", 900), ("a", "fr", "p", 50), ("b", "en", "q", 30), ("b", "fr", "p", 300), ("c", "fr", "q", 80), ("c", "en", "p", 0)]], "source string, lang string, topic string, tokens long")
     target = lambda axis, rows: spark.createDataFrame(rows, f"{axis} string, target double")
