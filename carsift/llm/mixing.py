@@ -2,7 +2,7 @@
 
 Token counts per (source, language, topic) cell are raked in turn to the three target marginals until all agree. A document
 is then kept with a probability in proportion to its cell's factor (fitted over counted weight), decided by a hash of doc_id
-and text, so a rerun keeps the same documents.
+and text, so a rerun keeps the same documents. No cell with tokens is cut at probability 1: the sample shrinks instead.
 
 Only cells are iterated on, never documents; the cell table stays a DataFrame, and its lineage is cut by a written table.
 
@@ -90,8 +90,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         keep: float = 0.8, seed: int = 5) -> DataFrame:
     """doc_id, text_key, source, lang, topic, n_tokens, factor, probability, kept for every document.
 
-    targets: axis -> value -> share; an axis left out is tempered by `power`. keep: share of all tokens to expect in the
-    sample; the larger it is, the more cells reach probability 1 and stay below their target.
+    targets: axis -> value -> share; an axis left out is tempered by `power`. keep: largest share of all tokens to expect in
+    the sample. It is less where a cell's factor asks for more than all of its tokens: then the cell of the largest factor is
+    kept whole and all others in proportion to it, so the expected sample meets the marginals that were raked.
     """
     spark = docs.sparkSession
     text_topic = topic if topic is not None else (F.col("topic") if "topic" in docs.columns else topic_of())
@@ -116,23 +117,10 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
 
 def _scale_for(fitted: DataFrame, keep: float) -> float:
-    """Scale of the factors at which a share `keep` of all tokens is expected to stay.
-
-    Cells are first summed by factor in steps of one per cent, so what comes to the driver does not grow with the cells.
-    """
-    step = F.round(F.log("factor") * 100).cast("int")
-    sums = fitted.where("tokens > 0 and factor > 0").groupBy(step.alias("step")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("factor")).alias("mass")).collect()
-    if not sums:
-        return 1.0
-    wanted = min(1.0, keep) * sum(r["tokens"] for r in sums)
-    expected = lambda s: sum(min(r["tokens"], r["mass"] * s) for r in sums)
-    low, high = 0.0, 1.0
-    while expected(high) < wanted * (1 - 1e-9) and high < 1e12:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < wanted else (low, middle)
-    return high
+    """Scale of the factors: `keep`, or less where the largest factor of a cell with tokens would pass probability 1."""
+    # factors leave the sum of tokens as it is, so the scale is the share of tokens to expect
+    largest = fitted.where("tokens > 0").agg(F.max("factor")).first()[0]
+    return min(1.0, keep, 1 / largest) if largest else 1.0
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, columns: Sequence[str] | None = None, **options) -> DataFrame:

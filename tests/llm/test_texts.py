@@ -159,6 +159,16 @@ def test_mixing_documents(spark):
     assert mixing.mix(documents(spark, [], ", source string, lang string")).count() == 0
 
 
+def test_mixing_expects_the_marginals_of_skewed_input(spark):
+    rows = [(i, "word " * 20, "a" if i % 20 else "b", "en") for i in range(400)]
+    docs = documents(spark, rows, ", source string, lang string")
+    for keep, share in [(0.8, 0.1), (0.05, 0.05)]:
+        got = mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}}, keep=keep).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("m")).collect()
+        mass = {r["source"]: r["m"] for r in got}
+        assert mass["b"] / sum(mass.values()) == pytest.approx(0.5, abs=1e-3)
+        assert sum(mass.values()) == pytest.approx(share * 400 * 20, rel=1e-2)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (60, 12), (20, 4)])
 def test_bpe_equals_whole_text_encoding(spark, chunk, overlap):
     vocabulary = bpe.public_vocabulary()
