@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carsift.llm import bpe, jaccard, langid, licenses, line_dedup, mixing, quality, substrings, topk, toxicity
+from carsift.llm import bpe, filter_audit, fim, jaccard, langid, licenses, line_dedup, mixing, quality, substrings, topk, toxicity
+from carsift.llm.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +183,49 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
     index = toxicity.fit(docs.where(~held_out()), labels.where(~held_out()))
     return toxicity.score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+PERMUTATIONS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+OP11_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS w, min(doc_id) OVER (PARTITION BY text) AS lo FROM t),
+f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(lo < doc_id, false) AS e FROM w),
+m AS (SELECT doc_id, part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits FROM f),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+o(filter_order) AS (VALUES {PERMUTATIONS}),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+        list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS before FROM o, unnest(range(1, 6)) AS u(step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (bits & (coalesce(before, 0) | bit) = 0) AS kept,
+        sum(n) FILTER (bits & bit > 0 AND bits & coalesce(before, 0) = 0) AS removed, sum(n) FILTER (bits & bit > 0 AND bits & coalesce(before, 0) > 0) AS redundant,
+        sum(n) FILTER (bits = bit) AS unique_fails, sum(good) FILTER (bits & bit > 0 AND bits & coalesce(before, 0) = 0) AS good_lost,
+        sum(toxic) FILTER (bits & bit > 0 AND bits & coalesce(before, 0) = 0) AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n) AS suffix FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    stored = written(fim.store(table(spark, folder, "documents").select("doc_id", "text")), "frames")
+    made = fim.digests(fim.transform(stored))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")

@@ -14,9 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "file://" + tempfile.mkdtemp(prefix="carsift-")).rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/carsift-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back, so a lost executor costs no earlier work."""
-    path = f"{shared_dir(df.sparkSession)}/carsift-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
