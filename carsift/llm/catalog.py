@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carsift.llm import bpe, filter_audit, fim, jaccard, langid, licenses, line_dedup, mixing, quality, substrings, topk, toxicity
+from carsift.llm import bpe, filter_audit, fim, html_main, jaccard, langid, licenses, line_dedup, mixing, quality, substrings, topk, toxicity
 from carsift.llm.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,21 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# the pages of this table keep their main text in one article element of headings and paragraphs
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, replace(replace(replace(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
+@query("op12_html_extraction", OP12_SQL)
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages, html_main.fit(pages, html_main.built_pages(spark, 600)))
+
+
 OP13_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
 h AS (SELECT *, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
