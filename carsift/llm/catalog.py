@@ -216,7 +216,8 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 OP12_SQL = r"""
 WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ') AS a FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS b FROM a),
-t AS (SELECT page_id, url, replace(replace(replace(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM b)
+t AS (SELECT page_id, url, replace(replace(replace(replace(replace(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '&lt;', '<'), '&gt;', '>'),
+        '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """
 
