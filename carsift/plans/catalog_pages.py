@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carsift.plans import reference_sql as R
 from carsift.plans.registry import query
+from carsift.sources import embedded as em
 from carsift.sources import extract as ex
+from carsift.sources import profiles as pr
+from carsift.sources import walk
 from carsift.sources.listings import listings_from_orders, read_table, spread
 
 c = F.col
@@ -106,7 +112,7 @@ def _(spark, folder):
 @query("A2_pages_without_listings", "SELECT count(*) AS pages, 0::BIGINT AS with_json, 0::BIGINT AS json_blocks FROM pages WHERE true")
 def _(spark, folder):
     p = spread(read_table(spark, folder, "pages").select("page_id", "html"))
-    return p.agg(F.count("*").alias("pages"), F.count_if(ex.embedded_json(c("html")).isNotNull()).alias("with_json"), F.sum(F.size(ex.json_scripts(c("html"))).cast("long")).alias("json_blocks"))
+    return p.agg(F.count("*").alias("pages"), F.count_if(em.embedded_json(c("html")).isNotNull()).alias("with_json"), F.sum(F.size(em.json_scripts(c("html"))).cast("long")).alias("json_blocks"))
 
 
 @query("A18_detail_pages", f"WITH {R.SRC} SELECT arrival_seq, description, CASE seller_type WHEN 'particulier' THEN 'particulier' ELSE 'professionnel' END AS seller_type, carburant, least(n_images, 10) AS images, 70 AS puissance_ch, "
@@ -121,25 +127,187 @@ def _(spark, folder):
     return d.select(c("url").cast("long").alias(KEY), "description", "seller_type", "carburant", F.size("images_urls").alias("images"), "puissance_ch", "ct_info")
 
 
-@query("A6_object_finders", f"WITH {R.SRC}, n AS (SELECT count(*) AS n FROM src) SELECT finder, CAST(n * per_page AS BIGINT) AS objects FROM n, (VALUES ('json_scripts', 1), ('generic', 2), ('container', 1), ('ads', 2), ('fixed_path', 1), ('listings_or_priced', 1), ('attribute', 1)) AS f(finder, per_page)")
+# ---- pages of several listings ------------------------------------------------------------------------------------
+# place of a listing on the page of its order, by line number: listings, results, vehicles, ads, inside a listing, far down, listings
+_SLOTS = "SELECT arrival_seq, (arrival_seq // 1048576) % 10 % 7 AS slot, prix FROM src"
+_FOUND = {"generic": (0, 1, 2, 3, 5, 6), "container": (0, 1, 2, 4, 6), "ads": (4,), "listings_or_priced": (0, 1, 2, 3), "fixed_path": (4,), "listed_vehicles": (3,),
+          "initial_state": (0, 1, 2, 4, 6), "attribute": (0, 1, 2, 4, 6), "json_scripts": (4,)}
+_FINDER_SQL = (f"WITH {R.SRC}, o AS ({_SLOTS}), f(finder, slot) AS (VALUES " + ", ".join(f"('{n}', {s})" for n, slots in _FOUND.items() for s in slots) +
+               ") SELECT finder, CAST(arrival_seq AS VARCHAR) AS id, CASE WHEN slot <> 0 THEN coalesce(prix, 0) END AS prix FROM f JOIN o USING (slot)")
+
+
+def order_json(spark, folder):
+    """page_id, json text: the listings of an order in lists, nested objects and eight levels down."""
+    df = listings_from_orders(spark, folder).withColumn("line", F.floor(c(KEY) / 1048576))
+    slot, key, price = (c("line") % 10) % 7, c(KEY).cast("string"), F.coalesce("prix", F.lit(0))
+    text = F.when(slot == 0, F.to_json(F.struct(key.alias("guid"), F.lit("x").alias("make")))).when(
+        slot == 4, F.to_json(F.struct(key.alias("list_id"), F.lit("s").alias("subject"), price.alias("price")))).otherwise(F.to_json(F.struct(key.alias("id"), price.alias("price"))))
+    lists = [F.concat(F.lit("["), F.array_join(F.collect_list(F.when(slot == s, text)), ","), F.lit("]")).alias(f"s{s}") for s in range(7)]
+    rows = df.groupBy(F.floor(c("line") / 10).alias("page_id")).agg(*lists)
+    deep = F.concat(*[F.lit(f'{{"n{i}":') for i in range(8)], c("s6"), F.lit("}" * 8))
+    listings = F.concat(F.lit("["), F.array_join(F.filter(F.array(*[F.expr(f"substring(s{s}, 2, length(s{s}) - 2)") for s in (1, 0)]), lambda x: x != ""), ","),
+                        F.when((c("s1") != "[]") | (c("s0") != "[]"), ",").otherwise(""), F.lit('{"related":'), c("s5"), F.lit("}, 3]"))
+    return rows.select("page_id", F.concat(
+        F.lit('{"props":{"pageProps":{"a":{"listings":'), listings, F.lit('},"searchResults":{"results":'), c("s2"), F.lit(',"vehicles":'), c("s3"),
+        F.lit('},"searchData":{"ads":'), c("s4"), F.lit('},"e":'), deep, F.lit("}}}")).alias("text"))
+
+
+@query("A6_object_finders", _FINDER_SQL)
 def _(spark, folder):
-    """Objects each finder sees over pages of all listings. The finders without a stop key see a listing twice, once in its
-    list and once by recursion; later steps keep the first per id."""
-    auto, cen, lbc = (pages_for(spark, folder, s) for s in ("autoscout24", "lacentrale", "leboncoin"))
-    attribute = auto.select(F.concat(F.lit('<div data-testid="searchResults" data-results="'), F.replace(ex.next_data(c("html")), F.lit('"'), F.lit("&quot;")),
-                                     F.lit('"></div>')).alias("html"))
-
-    def seen(name, pages, objects):
-        return pages.select(F.lit(name).alias("finder"), F.size(objects).cast("long").alias("k"))
-
-    parts = [
-        seen("json_scripts", auto, ex.json_scripts(c("html"))), seen("generic", auto, ex.find_objects("generic")(ex.next_data(c("html")))),
-        seen("container", cen, ex.find_objects("container")(ex.embedded_json(c("html")))), seen("ads", lbc, ex.find_objects("ads")(ex.next_data(c("html")))),
-        seen("fixed_path", lbc, ex.fixed_path(ex.next_data(c("html")), "$.props.pageProps.searchData.ads")),
-        seen("listings_or_priced", auto, ex.find_objects("listings_or_priced")(ex.next_data(c("html")))),
-        seen("attribute", attribute, F.array_compact(F.array(ex.embedded_json(c("html"))))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("finder").agg(F.sum("k").alias("objects"))
+    """Every listing each finder sees, with its price, over pages of several listings: five rules on the walk, two fixed paths,
+    and the data script's three substitutes (script text, attribute, any JSON block)."""
+    pages = order_json(spark, folder)
+    html = {"next": _page('<script id="__NEXT_DATA__" type="application/json">', c("text"), '</script><script type="application/json">{oops</script>'),
+            "initial_state": _page("<script>", F.concat(F.lit("window.__INITIAL_STATE__ = "), c("text"), F.lit(";"))),
+            "attribute": _page("", F.concat(F.lit('<div data-testid="searchResults" data-results="'), F.replace(c("text"), F.lit('"'), F.lit("&quot;")), F.lit('">')), "</div>")}
+    data = {n: pages.select("page_id", em.embedded_json(h).alias("json")) for n, h in html.items()}
+    found = {n: walk.find(data["next"], n).select("node") for n in ("generic", "container", "ads", "listings_or_priced")}
+    found |= {n: walk.find(data[n], "container").select("node") for n in ("initial_state", "attribute")}
+    found["fixed_path"] = data["next"].select(F.explode(em.members(c("json"), "$.props.pageProps.searchData.ads")).alias("node"))
+    found["listed_vehicles"] = data["next"].select(F.explode(em.listed_vehicles(c("json"))).alias("node"))
+    blocks = em.script_json(pages.select("page_id", html["next"].alias("html")))
+    found["json_scripts"] = walk.find(blocks, "ads").select("node")
+    read = lambda path, kind: F.try_variant_get("node", path, kind)
+    one = [rows.select(F.lit(n).alias("finder"), F.coalesce(*[read(f"$.{k}", "string") for k in ("id", "guid", "list_id")]).alias("id"), read("$.price", "int").alias("prix")) for n, rows in found.items()]
+    return reduce(DataFrame.unionByName, one).filter(c("id").isNotNull())
+
+
+# ---- older projections, cards and details by the profile table ------------------------------------------------------
+def _json_text(*fields):
+    """A JSON object from (name, column); columns that begin with a bracket or brace are JSON already, NULL members are left out."""
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f'"{n}": '), v)) for n, v in fields])), ", "), F.lit("}"))
+
+
+def _quoted(col):
+    return F.concat(F.lit('"'), col, F.lit('"'))
+
+
+def _odd():
+    return c("n_images") % 2 == 1
+
+
+def _image_list():
+    return F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), c("n_images")), lambda i: F.when(i % 2 == 0, F.lit('"a.jpg"')).otherwise(F.lit('{"url": "b.jpg"}'))), ","), F.lit("]"))
+
+
+def _older_pages(spark, folder, site):
+    df = listings_from_orders(spark, folder)
+    n = c("n_images")
+    if site == "autoscout_older":
+        vehicle = [("make", _quoted(c("marque"))), ("model", _quoted(c("modele"))), ("version", _quoted(c("version"))), ("firstRegistration", _quoted(F.concat(F.lit("05/"), c("annee").cast("string")))),
+                   ("mileage", _quoted(F.concat(c("kilometrage").cast("string"), F.lit(" km")))), ("fuelType", _quoted(c("carburant")))]
+        ad = _json_text(("id", c(KEY).cast("string")), ("title", F.when(n % 3 != 0, _quoted(c("titre")))), ("url", F.when(n % 4 == 0, F.lit('"/annonce/x"'))),
+                        ("price", F.when(_odd(), c("prix").cast("string")).otherwise(_json_text(("value", c("prix").cast("string"))))), ("vehicle", F.when(~_odd(), _json_text(*vehicle))),
+                        *[(k, F.when(_odd(), v)) for k, v in vehicle], ("location", _json_text(("zip", _quoted(F.concat(c("departement"), F.lit("100")))))),
+                        ("sellerType", F.when(c("seller_type") == "particulier", F.lit('"P"')).otherwise(F.lit('"D"'))), ("images", _image_list()))
+        return df.select(c(KEY).alias("page_id"), _page('<script type="application/json">', F.concat(F.lit('{"a": {"listings": ['), ad, F.lit("]}}"))).alias("html"))
+    vehicle = [("brand", _quoted(c("marque"))), ("range", _quoted(c("modele"))), ("commercialName", _quoted(c("version"))), ("firstRegistrationYear", c("annee").cast("string")),
+               ("km", c("kilometrage").cast("string")), ("energy", _quoted(c("carburant")))]
+    ad = _json_text(("classifiedId", c(KEY).cast("string")), ("title", F.when(n % 3 != 0, _quoted(c("titre")))), ("url", F.when(n % 4 == 0, F.lit('"/annonce/x"'))),
+                    ("price", F.when(_odd(), c("prix").cast("string"))), ("prices", F.when(~_odd(), _json_text(("mainPrice", c("prix").cast("string"))))), ("vehicle", F.when(~_odd(), _json_text(*vehicle))),
+                    *[(k, F.when(_odd(), v)) for k, v in vehicle], ("location", _json_text(("postalCode", _quoted(F.concat(c("departement"), F.lit("100")))), ("department", _quoted(c("departement"))))),
+                    ("isPrivate", F.when(n % 5 == 0, F.lit("true"))), ("customerType", F.when(c("seller_type") == "particulier", F.lit('"part"'))), ("images", _image_list()))
+    holder = F.when(_odd(), F.concat(F.lit('{"searchResults": {"vehicles": ['), ad, F.lit("]}}"))).otherwise(F.concat(F.lit('{"ads": ['), ad, F.lit("]}")))
+    return df.select(c(KEY).alias("page_id"), _page('<script id="__NEXT_DATA__" type="application/json">', F.concat(F.lit('{"props": {"pageProps": '), holder, F.lit("}}"))).alias("html"))
+
+
+_BLANK = lambda x: f"nullif({x}, '')"
+_OLDER_FIELDS = f"{_BLANK('marque')} AS marque, {_BLANK('modele')} AS modele, {_BLANK('version')} AS version, annee, kilometrage, carburant, departement || '100' AS code_postal, least(n_images + 1, 10) AS images"
+_OLDER_OUT = ["id", "url", "titre", "prix", "marque", "modele", "version", "annee", "kilometrage", "carburant", "code_postal", "type_vendeur", "images"]
+
+
+def _older(spark, folder, name):
+    rows = pr.older_listings(_older_pages(spark, folder, name), name)
+    return rows.withColumns({"id": c("source_listing_id"), "images": F.size("images_urls")}).select(*_OLDER_OUT)
+
+
+@query("A13_autoscout_older", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, CASE WHEN n_images % 4 = 0 THEN 'https://www.autoscout24.fr/annonce/x' ELSE 'https://www.autoscout24.fr/annonce/' || arrival_seq END AS url, "
+       f"coalesce(CASE WHEN n_images % 3 <> 0 THEN {_BLANK('titre')} END, marque || ' ' || modele) AS titre, prix, {_OLDER_FIELDS}, CASE seller_type WHEN 'particulier' THEN 'particulier' ELSE 'pro' END AS type_vendeur FROM src")
+def _(spark, folder):
+    return _older(spark, folder, "autoscout_older")
+
+
+@query("A13b_lacentrale_older", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, 'https://www.lacentrale.fr' || CASE WHEN n_images % 4 = 0 THEN '/annonce/x' ELSE '/auto-occasion-annonce-' || arrival_seq || '.html' END AS url, "
+       f"coalesce(CASE WHEN n_images % 3 <> 0 THEN {_BLANK('titre')} END, {_BLANK('version')}) AS titre, prix, {_OLDER_FIELDS}, CASE WHEN n_images % 5 = 0 OR seller_type = 'particulier' THEN 'particulier' ELSE 'pro' END AS type_vendeur FROM src")
+def _(spark, folder):
+    return _older(spark, folder, "lacentrale_older")
+
+
+def _card_pages(spark, folder, card):
+    """One page per order with the cards of its lines, in order of arrival."""
+    df = listings_from_orders(spark, folder).select(F.floor(c(KEY) / 10485760).alias("page_id"), KEY, card.alias("card"))
+    rows = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(KEY, "card"))).alias("cards"))
+    return rows.select("page_id", _page("<div id=list>", F.array_join(F.transform("cards", lambda x: x["card"]), "<hr>"), "</div>").alias("html"))
+
+
+def _text(name):
+    return F.coalesce(c(name).cast("string"), F.lit("nc"))
+
+
+def _cards(pages, name, brand="Peugeot", *more):
+    rows = pr.card_rows(pages, name, brand, "207")
+    return rows.select(c("source_listing_id").alias("id"), "titre", "prix", "kilometrage", "annee", "ville", "departement", "thumbnail_url", *more)
+
+
+@query("A15_paruvendu_older_cards", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, CASE WHEN n_images % 2 = 0 THEN coalesce({_BLANK('titre')}, 'Peugeot 207') ELSE 'Lien ' || arrival_seq END AS titre, prix, kilometrage, annee, "
+       "CASE WHEN departement = '' THEN 'Ville ()' ELSE 'Ville' END AS ville, departement, CASE WHEN n_images % 3 = 0 THEN '/b.jpg' ELSE '/a.jpg' END AS thumbnail_url FROM src")
+def _(spark, folder):
+    """Cards by class names; the id after a slash or after an a, the title from an element or the link, town and department from the place."""
+    n = c("n_images")
+    href = F.when(n % 2 == 0, F.concat(F.lit("/auto/"), _text(KEY), F.lit(".htm?x=1"))).otherwise(F.concat(F.lit("/auto-a"), _text(KEY)))
+    card = F.concat(F.lit('<div class="annonce-card"><a title="Lien '), _text(KEY), F.lit('" href="'), href, F.lit('">.</a>'), F.when(n % 2 == 0, F.concat(F.lit("<h2>"), c("titre"), F.lit("</h2>"))).otherwise(""),
+                    F.lit("<p class=Prix><b>"), _text("prix"), F.lit("</b> &euro;</p><ul><li class=info-km>"), _text("kilometrage"), F.lit(" km</li><li class=detail>Année "), _text("annee"),
+                    F.lit("</li></ul><p class=ville>Ville ("), c("departement"), F.lit(")</p>99 km 1999"), F.when(n % 3 == 0, '<img data-src="/b.jpg">').otherwise('<img src="/a.jpg">'), F.lit("</div>"))
+    return _cards(_card_pages(spark, folder, card), "paruvendu_older")
+
+
+@query("A16b_lacentrale_fallback_cards", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, coalesce({_BLANK('titre')}, 'Peugeot 207') AS titre, CASE WHEN n_images % 4 <> 3 THEN prix END AS prix, "
+       "NULL::INT AS kilometrage, NULL::INT AS annee, '' AS ville, '' AS departement, '/a.jpg' AS thumbnail_url FROM src")
+def _(spark, folder):
+    """Cards by test id; prices of more than six digits are none."""
+    n = c("n_images")
+    href = F.when(n % 2 == 0, F.concat(F.lit("/annonce-"), _text(KEY), F.lit(".html"))).otherwise(F.concat(F.lit("https://www.lacentrale.fr/x/"), _text(KEY)))
+    card = F.concat(F.lit('<article data-testid="classified-card"><a href="'), href, F.lit('"><span class="Card-Title">'), c("titre"), F.lit("</span></a><div class=price>"),
+                    F.when(n % 4 == 3, F.lit("1 234 567")).otherwise(_text("prix")), F.lit(" €</div><img src='/a.jpg'></article>"))
+    return _cards(_card_pages(spark, folder, card), "lacentrale_cards")
+
+
+@query("A17_autoscout_articles", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, coalesce({_BLANK('titre')}, 'Peugeot 207') AS titre, prix, CASE WHEN kilometrage > 1000 THEN kilometrage END AS kilometrage, annee, '' AS ville, '' AS departement, '' AS thumbnail_url, "
+       "CASE WHEN regexp_matches(lower(titre || carburant), 'diesel|hdi|dci|tdi') THEN 'Diesel' ELSE 'Essence' END AS carburant FROM src")
+def _(spark, folder):
+    """Articles with a heading: grouped digits, registration after a slash, fuel from words of the card."""
+    km = F.regexp_replace(F.format_number(c("kilometrage"), 0), ",", "\u202f")
+    card = F.concat(F.lit("<article><h2>"), c("titre"), F.lit('</h2><a href="/offres/'), _text(KEY), F.lit('?x=1">voir</a><p>120 €</p><p>'), _text("prix"), F.lit(" €</p><span>"), F.coalesce(km, F.lit("nc")), F.lit(" km</span><span>05/"),
+                    _text("annee"), F.lit("</span><i>"), c("carburant"), F.lit("</i></article>"))
+    return _cards(_card_pages(spark, folder, card), "autoscout_articles", "peugeot", "carburant")
+
+
+@query("A17b_leboncoin_cards", f"WITH {R.SRC} SELECT CAST(arrival_seq AS VARCHAR) AS id, coalesce({_BLANK('titre')}, 'Peugeot 207') AS titre, prix, NULL::INT AS kilometrage, NULL::INT AS annee, "
+       "'Paris (' || departement || ')' AS ville, departement, '' AS thumbnail_url FROM src")
+def _(spark, folder):
+    """Cards whose root is the link, with named title, price and place."""
+    card = F.concat(F.lit('<a data-qa-id="aditem_container" href="/ad/voitures/'), _text(KEY), F.lit('.htm"><p data-qa-id="aditem_title">'), c("titre"), F.lit('</p><span data-qa-id="aditem_price">'), _text("prix"),
+                    F.lit(' €</span><p data-qa-id="aditem_location">Paris ('), c("departement"), F.lit(")</p></a>"))
+    return _cards(_card_pages(spark, folder, card), "leboncoin_cards", "peugeot")
+
+
+def _detail_page(site):
+    n = c("n_images")
+    if site == "leboncoin":
+        ad = F.concat(F.lit('{"body": '), F.to_json(F.struct("description")).substr(F.lit(16), F.length(F.to_json(F.struct("description"))) - 16), F.lit(', "images": {"urls": '),
+                      F.to_json(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("u"), i.cast("string")))), F.lit('}, "owner": {"type": "'), c("seller_type"), F.lit('", "name": "N"}}'))
+        return _page('<script id="__NEXT_DATA__" type="application/json">', F.concat(F.lit('{"props": {"pageProps": {"ad": '), ad, F.lit("}}}")))
+    word = "annonce" if site == "paruvendu" else "classified"
+    images = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit(f'<img src="https://x/{word}/'), i.cast("string"), F.lit('.jpg">'))), "")
+    name = {"paruvendu": "bloc-vendeur", "lacentrale": "seller-box"}[site]
+    body = F.concat(F.lit('<div class="Fiche-Description"><p>'), c("description"), F.lit(f'</p></div><img src="https://x/logo.png">'), images, F.lit(f'<div class="{name}">Vendeur '), c("seller_type"), F.lit("</div>"))
+    return _page("<div>", body, "</div>")
+
+
+for _site in ("lacentrale", "paruvendu", "leboncoin"):
+    _seller = "seller_type" if _site == "leboncoin" else "CASE seller_type WHEN 'unknown' THEN '' ELSE seller_type END AS seller_type"
+
+    @query(f"A19_{_site}_details", f"WITH {R.SRC} SELECT arrival_seq, description, {_seller}, least(n_images + 1, 10) AS images FROM src")
+    def _(spark, folder, site=_site):
+        pages = listings_from_orders(spark, folder).select(c(KEY).cast("string").alias("url"), _detail_page(site).alias("html"))
+        return pr.detail_rows(pages, site).select(c("url").cast("long").alias(KEY), "description", "seller_type", F.size("images_urls").alias("images"))
