@@ -14,7 +14,7 @@ from carsift.plans.catalog_scoring import CLASSIC_SQL, KEY, LIGHT_SQL, analysed,
 from carsift.plans.catalog_text import FP_SQL, HASH_SQL, SOFT_SQL, reason_sql, title_ctes, with_fingerprint, with_reason, with_soft
 from carsift.plans.registry import query
 from carsift.sources import dictionaries as dic
-from carsift.sources import store
+from carsift.sources import feed, store
 from carsift.sources.listings import fetch_log_from_events, listings_from_orders, read_table, spread
 
 c = F.col
@@ -387,9 +387,10 @@ def _(spark, folder):
     return raw(spark, folder).select(KEY, filters.department_tier().alias("tier"))
 
 
-@query("C12_detail_sources", SQ("SELECT source, count(*) AS n FROM src WHERE source IN ('autoscout24', 'lacentrale') GROUP BY source"))
+@query("C12_detail_sources", SQ("SELECT source, count(*) AS n FROM src WHERE source IN ('autoscout24', 'lacentrale', 'leboncoin', 'paruvendu') GROUP BY source"))
 def _(spark, folder):
-    return raw(spark, folder).where(c("source").isin("autoscout24", "lacentrale")).groupBy("source").agg(F.count("*").alias("n"))
+    """Listings whose detail page can be read, as the registry of sources says."""
+    return raw(spark, folder).where(c("source").isin(feed.detail_sources())).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("C13_known_keys", SQ("SELECT arrival_seq FROM batch WHERE fingerprint IN (SELECT fingerprint FROM hist)", IDS, HIST))

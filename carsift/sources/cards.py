@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
+OPENING = re.compile(r"<(?=!--|/?[a-zA-Z])")
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+UNQUOTED = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>")  # a tag whose quotes do not close ends at the next bracket
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SKIPPED = re.compile(r"</(?:script|style)\s*>", re.I)
 
@@ -33,16 +35,22 @@ class Page:
         self.tags, self.attributes, self.ends, self.parents, self.texts, self.text_from, self.text_to = [], [], [], [], [], [], []
         opened, at, by_tag = [], 0, {}
         while at < len(html):
-            found = TAG.search(html, at)
-            text = html[at : found.start() if found else len(html)]
+            start = OPENING.search(html, at)
+            text = html[at : start.start() if start else len(html)]
             if opened and text.strip():
                 self.texts.append(unescape(text).strip())
-            if not found:
+            if not start:
                 break
-            at = found.end()
-            closing, name = found[1], (found[2] or "").lower()
-            if not name:
+            at = start.start()
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(html)
                 continue
+            if html.find(">", at) < 0:
+                break
+            found = TAG.match(html, at) or UNQUOTED.match(html, at)
+            at = found.end()
+            closing, name = found[1], found[2].lower()
             if closing:
                 if by_tag.get(name):
                     place = by_tag[name][-1]
