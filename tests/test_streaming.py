@@ -1,10 +1,12 @@
 """Streams equal their batch form, also when restarted from the checkpoint."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from carsift.sources.store import ListingLog
 from carsift.streaming import health
-from carsift.streaming.listings import change_alerts, drop_seen, scan_stream, upsert_sink
+from carsift.streaming.listings import change_alerts, drop_seen, scan_stream, upsert_sink, with_cooldown
 
 SCHEMA = "fingerprint string, arrival_seq long, source string, source_listing_id string, url string, prix int, score_total int, scraped_at timestamp, created_at timestamp, notified boolean"
 
@@ -15,6 +17,16 @@ def _file(spark, folder, rows):
     df.withColumns({"scraped_at": ts, "created_at": ts}).coalesce(1).write.mode("append").parquet(folder)
 
 
+def _until(query, checkpoint, batches):
+    """A stateful query on the clock runs empty batches without end, so it is stopped once its data batches are committed."""
+    end = time.time() + 120
+    while time.time() < end and query.isActive and not (checkpoint / "commits" / str(batches - 1)).exists():
+        time.sleep(0.2)
+    if query.exception():
+        raise query.exception()
+    query.stop()
+
+
 def test_upsert_sink_with_restart(spark, tmp_path):
     folder, log = str(tmp_path / "in"), ListingLog(spark, str(tmp_path / "log"))
     for batch in ([(1, "x", 10, 50), (2, "x", 9, 55)], [(3, "y", 20, 70)]):
@@ -30,7 +42,7 @@ def test_drop_seen(spark, tmp_path):
     _file(spark, folder, [(4, "x", 8, 50), (5, "z", 9, 55)])
     out = drop_seen(scan_stream(spark, folder, SCHEMA, 1))
     q = out.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    _until(q, tmp_path / "ck", 2)
     assert sorted(r.source_listing_id for r in spark.table("seen").collect()) == ["x", "y", "z"]
 
 
@@ -65,7 +77,7 @@ def test_drop_seen_keeps_late_rows_and_checks_both_keys(spark, tmp_path):
         one = spark.createDataFrame([(f"f{seq}", seq, "s", lid, url, 1, 1)], "fingerprint string, arrival_seq long, source string, source_listing_id string, url string, prix int, score_total int")
         one.withColumns({"scraped_at": F.lit(at).cast("timestamp"), "created_at": F.lit(at).cast("timestamp"), "notified": F.lit(False)}).coalesce(1).write.mode("append").parquet(folder)
     q = drop_seen(scan_stream(spark, folder, SCHEMA, 1)).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    _until(q, tmp_path / "ck", 4)
     assert sorted(r.arrival_seq for r in spark.table("late").collect()) == [1, 2]
 
 
@@ -75,7 +87,7 @@ def test_change_alerts(spark, tmp_path):
         _file(spark, folder, rows)
     out = change_alerts(scan_stream(spark, folder, SCHEMA, 1))
     q = out.writeStream.format("memory").queryName("chg").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    _until(q, tmp_path / "ck", 3)
     got = sorted((r.arrival_seq, r.reason) for r in spark.table("chg").collect())
     assert got == [(1, "new"), (4, "score_threshold"), (5, "price_dropped"), (6, "score_increased")]
 
@@ -108,3 +120,40 @@ def test_circuit_stream_equals_the_sequential_rule(spark, tmp_path):
     q = health.circuit_changes(stream).writeStream.format("memory").queryName("circ").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(want) == sorted((r.source, r.event_id, r.state) for r in spark.table("circ").collect()) and want
+
+
+def test_history_fills_the_seen_state(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    _file(spark, folder, [(1, "x", 10, 50), (2, "y", 9, 55), (3, "z", 1, 1), (4, "old", 1, 1)])
+    history = spark.createDataFrame([("a", "x", "ux", 1), ("a", "w", "uy", 2), ("a", None, None, 3), ("a", "old", "uold", 90)], "source string, source_listing_id string, url string, hours long")
+    as_of = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    history = history.withColumn("created_at", as_of - F.make_interval(hours=F.col("hours").cast("int"))).withColumn("arrival_seq", F.lit(0))
+    for run in range(2):  # the second time with another fresh checkpoint
+        out = drop_seen(scan_stream(spark, folder, SCHEMA, 1), history=history, as_of=as_of)
+        q = out.writeStream.format("memory").queryName(f"filled{run}").option("checkpointLocation", str(tmp_path / f"ck{run}")).trigger(availableNow=True).start()
+        _until(q, tmp_path / f"ck{run}", 1)
+        assert sorted(r.source_listing_id for r in spark.table(f"filled{run}").collect()) == ["old", "z"]
+
+
+def test_cooldown_holds_and_releases(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "fingerprint string, arrival_seq long, alerted_at timestamp"
+    sent = []
+
+    def run(rows):
+        frame = spark.createDataFrame([(k, seq, m) for seq, k, m in rows], "fingerprint string, arrival_seq long, m long")
+        start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+        frame.select("fingerprint", "arrival_seq", (start + F.make_interval(mins=F.col("m").cast("int"))).alias("alerted_at")).coalesce(1).write.mode("append").parquet(folder)
+        alerts = scan_stream(spark, folder, schema, 1).withWatermark("alerted_at", "0 seconds")
+        out = with_cooldown(alerts, minutes=60, batch_size=2, by_event=True)
+        q = out.writeStream.foreachBatch(lambda b, i: sent.extend((r.fingerprint, r.arrival_seq, (r.released_at.day - 1) * 1440 + r.released_at.hour * 60 + r.released_at.minute) for r in b.collect())
+                                         ).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got, sent[:] = sorted(sent), []
+        return got
+
+    assert run([(1, "x", 0), (2, "y", 30)]) == [("x", 1, 0), ("y", 2, 30)]
+    assert run([(3, "x", 59), (4, "x", 59), (5, "x", 59)]) == []       # held, and kept over the restart
+    assert run([(6, "y", 61)]) == [("x", 3, 60), ("x", 4, 60)]            # released by the timer, two at a time
+    assert run([(7, "z", 121)]) == [("x", 5, 120), ("y", 6, 90), ("z", 7, 121)]
+    assert run([(8, "x", 179), (9, "z", 182)]) == [("x", 8, 180), ("z", 9, 182)]
+    assert run([(10, "x", 241)]) == [("x", 10, 241)]
