@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carsift.functions import identity as idf
 from carsift.functions.urls import canonical_url
-from carsift.operators import alerts, dedup, filters, merge, ordered, stats
+from carsift.operators import alerts, dedup, filters, market, merge, ordered, stats
 from carsift.operators.scoring import score
 from carsift.plans import reference_sql as R
 from carsift.plans.catalog_scoring import CLASSIC_SQL, KEY, LIGHT_SQL, analysed, as_of_hours, classic, light, scored
 from carsift.plans.catalog_text import FP_SQL, HASH_SQL, SOFT_SQL, reason_sql, title_ctes, with_fingerprint, with_reason, with_soft
 from carsift.plans.registry import query
+from carsift.session import checkpoint_dir
 from carsift.sources import dictionaries as dic
 from carsift.sources import feed, store
 from carsift.sources.listings import fetch_log_from_events, listings_from_orders, read_table, spread
@@ -477,6 +480,27 @@ def _(spark, folder):
     return stats.market_prices(with_target(raw(spark, folder)))
 
 
+# the listings of nine of ten batches were seen again a batch later, 100 cheaper
+_REPRICED = "(SELECT * REPLACE (CASE WHEN arrival_seq % 10 < 9 THEN prix - 100 ELSE prix END AS prix) FROM scored)"
+
+
+@query("D6b_market_prices_by_batches", SQ("SELECT vehicule_cible_id, CAST(annee // 3 * 3 AS INT) || '-' || CAST(annee // 3 * 3 + 2 AS INT) AS annee_bucket, CAST(kilometrage // 50000 * 50000 AS INT) || '-' || CAST(kilometrage // 50000 * 50000 + 50000 AS INT) AS km_bucket, "
+       f"departement AS departement_bucket, count(*) AS count, min(prix) AS prix_min, max(prix) AS prix_max, CAST(median(prix) AS DOUBLE) AS prix_median, avg(prix) AS prix_moyenne FROM {_REPRICED} WHERE vehicule_cible_id <> '' AND prix IS NOT NULL AND annee IS NOT NULL AND kilometrage IS NOT NULL "
+       "GROUP BY GROUPING SETS ((vehicule_cible_id, annee_bucket, km_bucket, departement), (vehicule_cible_id, annee_bucket, km_bucket))", R.scored()))
+def _(spark, folder):
+    """The statistics after ten batches that add new listings and reprice those of the batch before."""
+    from carsift.operators.identify import with_target
+
+    root = f"{checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
+    with_target(raw(spark, folder)).select("vehicule_cible_id", "annee", "kilometrage", "departement", "prix", (c(KEY) % 10).alias("seen")).write.parquet(f"{root}/listings")
+    rows, log = spark.read.parquet(f"{root}/listings"), market.PriceLog(spark, f"{root}/log")
+    cheaper = c("prix") - 100
+    for batch in range(10):
+        new, again = rows.filter(c("seen") == batch), rows.filter(c("seen") == batch - 1)
+        log.apply(new.unionByName(again.withColumn("prix", cheaper)), again, batch)
+    return log.prices()
+
+
 @query("D10_run_report", SQ("SELECT count(*) AS total, count(*) FILTER (mots_cles_detectes <> '') AS avec_mots_cles, count(*) FILTER (score_rentabilite >= 50) AS score_50, count(*) FILTER (score_rentabilite >= 30) AS score_30 FROM v1", CLASSIC_SQL))
 def _(spark, folder):
     return stats.run_report(classic(spark, folder))

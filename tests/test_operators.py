@@ -113,3 +113,28 @@ def test_near_duplicate_finds_the_stored_row_itself(spark):
     batch = spark.createDataFrame([(10, "f2", "s1", at(5), 9, 50, False), (11, "f9", "s9", at(5), 9, 50, False), (12, "f3", "", at(5), 9, 50, False)], schema)
     got = {r.arrival_seq: r.near and r.near.fingerprint for r in dedup.near_duplicates(batch, hist).collect()}
     assert got == {10: "f2", 11: None, 12: None}
+
+
+def test_price_log_adds_and_retracts(spark, tmp_path):
+    from carsift.operators.market import PriceLog, price_counts, price_stats
+
+    schema = "vehicule_cible_id string, annee int, kilometrage int, departement string, prix int, id int"
+    rnd, state = random.Random(8), {}
+    log, other = PriceLog(spark, str(tmp_path / "log")), None
+    for batch in range(4):
+        now, before = [], []
+        for _ in range(12):
+            i = rnd.randrange(15)
+            row = (rnd.choice(["a", "b", ""]), rnd.choice([2009, 2010, None]), rnd.choice([90_000, 120_000]), rnd.choice(["75", "", None]), rnd.choice([900, 1000, None]), i)
+            before += [state[i]] if i in state else []
+            state[i] = row
+            now.append(row)
+        now, before = (spark.createDataFrame(x, schema) for x in (now, before))
+        log.apply(now, before, batch)
+        if batch == 2:
+            log.apply(now, before, batch)  # a replay
+            other = log.compact(str(tmp_path / "compact"), batch)
+        elif other:
+            other.apply(now, before, batch)
+    want = {tuple(r) for r in price_stats(price_counts(spark.createDataFrame(list(state.values()), schema))).collect()}
+    assert {tuple(r) for r in log.prices().collect()} == want == {tuple(r) for r in other.prices().collect()} and want
