@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carsift.llm.scratch import written
+from carsift.llm.scratch import settled, written
 from carsift.llm.tiles import BITS, candidate_tiles, may_link, tile_classes
 from carsift.llm.words import Reader, Slice, mix
 
@@ -187,5 +187,5 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs that stand for their class: those whose doc_id is the class id (and those without a doc_id)."""
-    gone = classes(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = settled(docs.sparkSession, "gone", lambda: classes(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti")

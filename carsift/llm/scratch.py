@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)  # of the operator call that is being run, if it has one
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return (named or "file://" + tempfile.mkdtemp(prefix="carsift-")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/carsift-{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or shared_dir(spark)}/carsift-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -26,3 +32,17 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Writes the rows of make() and removes all that was written while making them; only the result stays."""
+    result, folder = scratch_path(spark, name), scratch_path(spark, f"{name}-steps")
+    before = _folder.set(folder)
+    try:
+        rows = make()
+        rows.write.parquet(result)
+        return spark.read.schema(rows.schema).parquet(result)
+    finally:
+        _folder.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
