@@ -1,8 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts per (source, language, topic) cell are raked in turn to the three target marginals until all agree. A document
-is then kept with a probability in proportion to its cell's factor (fitted over counted weight), decided by a hash of doc_id
-and text, so a rerun keeps the same documents. No cell with tokens is cut at probability 1: the sample shrinks instead.
+is then kept with its cell's probability, decided by a hash of doc_id and text, so a rerun keeps the same documents.
+
+Probabilities are bounded by 1 inside the fit: a value that is asked for more tokens than it has is kept whole, and raking goes on
+with the others. The size of the sample is the largest at which this leaves no share further from its target than allowed: targets
+that the caller gives are held (the sample shrinks for them), tempered ones may miss by `slack`, so that a rare value with a few
+tokens does not set the size of the corpus. `balance` returns expected against target shares.
 
 Only cells are iterated on, never documents; the cell table stays a DataFrame, and its lineage is cut by a written table.
 
@@ -13,12 +17,13 @@ repeated rows are decided alike; input columns named like a result column are re
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carsift.llm.scratch import written
+from carsift.llm.scratch import settled, unused_name, written
 
 AXES = ("source", "lang", "topic")
 NONE = "\u0000"  # stands for null among an axis' values
@@ -86,13 +91,83 @@ def _misfit(now: DataFrame, axes: list[str]) -> tuple[float, float]:
     return off or 0.0, (total or 0.0) / len(axes)
 
 
+def _sides(cells: DataFrame, targets: Mapping[str, DataFrame], slacks: Mapping[str, float]) -> DataFrame:
+    """axis, value, has (share of all tokens), target (share, over values with tokens), slack: one row per value with tokens."""
+    parts = []
+    for axis, wanted in targets.items():
+        sums = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("s")).where("s > 0").join(wanted, axis, "left")
+        every = Window.partitionBy(F.lit(axis))
+        parts.append(sums.select(F.lit(axis).alias("axis"), F.col(axis).alias("value"), (F.col("s") / F.sum("s").over(every)).alias("has"),
+                                 (F.coalesce("target", F.lit(0.0)) / F.sum("target").over(every)).alias("target"), F.lit(slacks[axis]).alias("slack")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return written(out, "sides")
+
+
+def bounded(cells: DataFrame, targets: Mapping[str, DataFrame], keep: float, slacks: Mapping[str, float], tolerance: float = 1e-4, most_rounds: int = 60) -> DataFrame:
+    """cells -> with factor, probability and target_<axis>: raking of the expected sample under probability <= 1.
+
+    The sample's share of all tokens starts at `keep`, or where a value's own tokens fall short of its target by its axis' slack,
+    and is halved while cells together miss a target by more than that, at most down to where no probability is cut.
+    """
+    raked = written(rake(cells, targets, tolerance, most_rounds), "raked")
+    whole, largest = raked.where("tokens > 0").agg(F.sum("tokens"), F.max("factor")).first()
+    if not whole:
+        blank = [F.lit(None).cast("double").alias(f"target_{x}") for x in targets]
+        return raked.select("*", F.least(F.lit(1.0), F.col("factor") * keep).alias("probability"), *blank)
+    sides = _sides(cells, targets, slacks)
+    share = min(1.0, keep, sides.where("target > slack").agg(F.min(F.col("has") / (F.col("target") - F.col("slack")))).first()[0] or 1.0)
+    uncut = min(1.0, keep, 1 / largest)
+    start = raked
+    for axis in targets:
+        start = start.join(sides.where(F.col("axis") == axis).select(F.col("value").alias(axis), F.col("target").alias(f"target_{axis}")), axis, "left")
+    start = written(start, "cells")
+    while True:
+        share = max(share, uncut)
+        now = start.withColumn("factor", F.col("factor") * share)
+        before, rounds = float("inf"), 0
+        while True:
+            over, off = _missed(now, sides)
+            if off <= tolerance or abs(before - off) <= tolerance / 100 or rounds == most_rounds or share <= uncut:
+                break
+            for axis in targets:
+                now = now.withColumn("mass", F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor")).over(Window.partitionBy(axis)))
+                step = F.col(f"target_{axis}") * (share * whole) / F.col("mass")
+                now = now.withColumn("factor", F.when(F.col("mass") > 0, F.least(F.lit(1e6), F.col("factor") * step)).otherwise(F.col("factor"))).drop("mass")
+            now, before, rounds = written(now, "cells"), off, rounds + 1
+        if over <= tolerance or share <= uncut:
+            break
+        share /= 2
+    if over > tolerance:
+        warnings.warn(f"the targets cannot be met together, or not within {most_rounds} rounds: a share is off by {off:.4f}", stacklevel=2)
+    return now.withColumn("probability", F.least(F.lit(1.0), "factor")).withColumn("factor", F.col("factor") / share)
+
+
+def balance(fitted: DataFrame) -> DataFrame:
+    """axis, value, tokens, target, expected: for cells of `bounded` each value's target share and the share to expect in the sample."""
+    mass = (F.col("tokens") * F.col("probability")).alias("mass")
+    axes = [c.removeprefix("target_") for c in fitted.columns if c.startswith("target_")]
+    each = F.array(*[F.struct(F.lit(x).alias("axis"), F.col(x).alias("value"), F.col(f"target_{x}").alias("target"), "tokens", mass) for x in axes])
+    by = fitted.select(F.explode(each).alias("s")).groupBy("s.axis", "s.value").agg(
+        F.sum("s.tokens").alias("tokens"), F.max("s.target").alias("target"), F.sum("s.mass").alias("mass"))
+    return by.withColumn("expected", F.try_divide("mass", F.sum("mass").over(Window.partitionBy("axis")))).drop("mass")
+
+
+def _missed(now: DataFrame, sides: DataFrame) -> tuple[float, float]:
+    """The most by which an expected share misses its target beyond its slack, and without regard to the slack."""
+    got = balance(now.withColumn("probability", F.least(F.lit(1.0), "factor"))).where("tokens > 0")
+    off = F.abs(F.col("expected") - F.coalesce("target", F.lit(0.0)))
+    over, most = got.join(sides.select("axis", "slack").distinct(), "axis").agg(F.max(off - F.col("slack")), F.max(off)).first()
+    return over or 0.0, most or 0.0
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, topic: Column | None = None, power: float = 0.8,
-        keep: float = 0.8, seed: int = 5) -> DataFrame:
+        keep: float = 0.8, seed: int = 5, slack: float = 0.01) -> DataFrame:
     """doc_id, text_key, source, lang, topic, n_tokens, factor, probability, kept for every document.
 
-    targets: axis -> value -> share; an axis left out is tempered by `power`. keep: largest share of all tokens to expect in
-    the sample. It is less where a cell's factor asks for more than all of its tokens: then the cell of the largest factor is
-    kept whole and all others in proportion to it, so the expected sample meets the marginals that were raked.
+    targets: axis -> value -> share; an axis left out is tempered by `power` and may miss a share by `slack`. keep: largest
+    share of all tokens to expect in the sample; it is less where given targets ask for more than there is of a value.
     """
     spark = docs.sparkSession
     text_topic = topic if topic is not None else (F.col("topic") if "topic" in docs.columns else topic_of())
@@ -100,31 +175,25 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), value(F.col("source")).alias("source"), value(F.col("lang")).alias("lang"), value(text_topic).alias("topic"), n_tokens().alias("n_tokens"))
     marked = written(marked, "marked")  # the texts are read once; what follows needs these columns only
     cells = written(marked.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    wanted = {}
+    wanted, slacks = {}, {}
     for axis in AXES:
         given = (targets or {}).get(axis)
+        slacks[axis] = slack if given is None else 1e-4
         if given is None:
             wanted[axis] = tempered(cells, axis, power)
         else:
             wanted[axis] = spark.createDataFrame([(NONE if k is None else str(k), float(v)) for k, v in given.items()], f"{axis} string, target double")
-    fitted = rake(cells, wanted)
-    scale = _scale_for(fitted, keep)
-    odds = fitted.select(*AXES, "factor", F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"))
+    odds = bounded(cells, wanted, keep, slacks).select(*AXES, "factor", "probability")
     draw = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     null = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     return marked.join(odds, list(AXES)).select(
         "doc_id", "text_key", *[null(c) for c in AXES], "n_tokens", "factor", "probability", (draw < F.col("probability")).alias("kept"))
 
 
-def _scale_for(fitted: DataFrame, keep: float) -> float:
-    """Scale of the factors: `keep`, or less where the largest factor of a cell with tokens would pass probability 1."""
-    # factors leave the sum of tokens as it is, so the scale is the share of tokens to expect
-    largest = fitted.where("tokens > 0").agg(F.max("factor")).first()[0]
-    return min(1.0, keep, 1 / largest) if largest else 1.0
-
-
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, columns: Sequence[str] | None = None, **options) -> DataFrame:
     """The rows of docs that the mix keeps."""
-    kept = mix(docs, targets, **options).where("kept").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    mark = unused_name(docs)
+    chosen = F.struct("doc_id", "text_key").alias(mark)
+    kept = settled(docs.sparkSession, "kept", lambda: mix(docs, targets, **options).where("kept").select(chosen).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(f"{mark}.doc_id")) & (F.xxhash64("text") == F.col(f"{mark}.text_key"))
     return docs.join(kept, same, "left_semi").select(*(columns or docs.columns))

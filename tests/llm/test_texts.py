@@ -169,6 +169,44 @@ def test_mixing_expects_the_marginals_of_skewed_input(spark):
         assert sum(mass.values()) == pytest.approx(share * 400 * 20, rel=1e-2)
 
 
+def bounded_by_force(cells, targets, share):
+    """Multipliers per axis value; the expected sample, cut at probability 1, is raked to share * target * all tokens."""
+    tokens = np.array([c[3] for c in cells], float)
+    p = np.ones(len(cells)) * share
+    for _ in range(500):
+        for axis, target in enumerate(targets):
+            for value, t in target.items():
+                mine = np.array([c[axis] == value for c in cells])
+                p[mine] *= t * share * tokens.sum() / (np.minimum(1, p) * tokens)[mine].sum()
+        p = np.minimum(p, 1e6)
+    return np.minimum(1, p)
+
+
+def test_bounded_raking_matches_brute_force(spark):
+    cells = [("a", "en", "p", 9000), ("a", "fr", "p", 500), ("b", "en", "q", 300), ("b", "fr", "p", 3000), ("c", "fr", "q", 800), ("c", "en", "p", 60)]
+    targets = [{"a": 0.6, "b": 0.3, "c": 0.1}, {"en": 0.55, "fr": 0.45}, {"p": 0.9, "q": 0.1}]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    wanted = {x: spark.createDataFrame(list(t.items()), f"{x} string, target double") for x, t in zip(mixing.AXES, targets)}
+    rows = mixing.bounded(frame, wanted, 0.7, dict.fromkeys(mixing.AXES, 0.05), most_rounds=25)
+    got = {tuple(r[x] for x in mixing.AXES): r["probability"] for r in rows.collect()}
+    expect = bounded_by_force(cells, targets, 0.7)
+    assert max(expect) == 1  # the bound is met
+    assert [got[c[:3]] for c in cells] == pytest.approx(expect, abs=2e-2)
+    for r in mixing.balance(rows).collect():
+        mass = sum(p * c[3] for c, p in zip(cells, expect) if r["value"] in c)
+        assert r["expected"] == pytest.approx(mass / sum(p * c[3] for c, p in zip(cells, expect)), abs=5e-3)
+        assert abs(r["expected"] - r["target"]) <= 0.05
+
+
+def test_mixing_a_rare_value_does_not_empty_the_corpus(spark):
+    rows = [(i, "word " * 100, "a", "en") for i in range(2000)] + [(5000, "one two three", "b", "fr")]
+    docs = documents(spark, rows, ", source string, lang string").withColumn("__doc", F.lit(1)).withColumn("__key", F.lit(2))
+    kept = mixing.sampled(docs)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert 5000 in found and 1400 <= len(found) <= 1700
+
+
 @pytest.mark.parametrize("chunk,overlap", [(1 << 15, 1 << 10), (60, 12), (20, 4)])
 def test_bpe_equals_whole_text_encoding(spark, chunk, overlap):
     vocabulary = bpe.public_vocabulary()
