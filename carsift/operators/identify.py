@@ -52,12 +52,12 @@ def with_target(df: DataFrame, targets: dict | None = None) -> DataFrame:
     return settle(named, ["veh_ord", "vehicule_cible_id"])  # later filters on the vehicle must not repeat the CASE
 
 
-def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: DataFrame, exclusions: DataFrame,
-                              key: str = "arrival_seq", hints: dict | None = None) -> DataFrame:
+def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: DataFrame, exclusions: DataFrame, hints: dict | None = None) -> DataFrame:
     """Same rule against dictionary frames supplied by the user (too large to unroll).
 
-    A conditional join of the listings with the dictionary; Catalyst broadcasts the dictionary when its size allows. The
-    first match per listing is a min over the dictionary order, so partial aggregation runs before the shuffle.
+    A conditional join of the distinct texts of the listings with the dictionary; Catalyst broadcasts the dictionary when its
+    size allows. The first match is a min over the dictionary order, and every listing finds it by its own texts, so listings
+    that share a key, or have none, keep their own vehicle.
     """
     hints = hints or builtin("targets")["fuel_hints"]
     pats = patterns.groupBy("vehicle_id").agg(F.array_join(F.collect_list(F.concat(F.lit("(?:"), "regex", F.lit(")"))), "|").alias("rx"))
@@ -65,9 +65,11 @@ def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: Data
     dim = vehicles.select("vehicle_id", F.col("ord").alias("veh_ord"), F.lower("marque").alias("v_marque"), F.col("carburant").alias("v_fuel")) \
         .join(pats, "vehicle_id").join(excl, "vehicle_id", "left")
     c = F.col
-    keyed = df.select(key, strip_spaces(F.lower("marque")).alias("b"), strip_spaces(F.lower("modele")).alias("m"),
-                      F.lower(blank_if_null("titre")).alias("t"), F.lower(blank_if_null("version")).alias("s"),
-                      F.lower(F.coalesce("carburant", F.lit("unknown"))).alias("f")).filter((c("b") != "") & (c("m") != ""))
+    texts = {"b": strip_spaces(F.lower("marque")), "m": strip_spaces(F.lower("modele")), "t": F.lower(blank_if_null("titre")),
+             "s": F.lower(blank_if_null("version")), "f": F.lower(F.coalesce("carburant", F.lit("unknown")))}
+    read = df.withColumns({"_" + n: x for n, x in texts.items()})
+    names = ["_" + n for n in texts]
+    distinct = read.filter((c("_b") != "") & (c("_m") != "")).select(*[c("_" + n).alias(n) for n in texts]).distinct()
     hint_ok = F.lit(False)
     for fuel, words in hints.items():
         hint_ok = hint_ok | ((c("v_fuel") == fuel) & contains_any(F.concat_ws(" ", "t", "s"), words))
@@ -78,8 +80,9 @@ def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: Data
         & (c("v_fuel").isNull() | F.contains(c("f"), c("v_fuel")) | (c("f") == "unknown") | hint_ok)
         & (c("words").isNull() | ~F.exists(c("words"), lambda w: F.contains(c("t"), w) | F.contains(c("s"), w)))
     )
-    first = keyed.join(dim, fits).groupBy(key).agg(F.min(F.struct("veh_ord", "vehicle_id")).alias("hit"))
-    return df.join(first, key, "left").withColumn("vehicule_cible_id", F.coalesce(c("hit.vehicle_id"), F.lit(""))).drop("hit")
+    first = distinct.join(dim, fits).groupBy(*texts).agg(F.min(F.struct("veh_ord", "vehicle_id")).alias("hit")).select(
+        *[c(n).alias("_" + n) for n in texts], "hit")
+    return read.join(first, names, "left").withColumn("vehicule_cible_id", F.coalesce(c("hit.vehicle_id"), F.lit(""))).drop("hit", *names)
 
 
 def classic_target_ord(marque: Column, modele: Column, titre: Column, description: Column, motorisation: Column,

@@ -138,3 +138,15 @@ def test_price_log_adds_and_retracts(spark, tmp_path):
             other.apply(now, before, batch)
     want = {tuple(r) for r in price_stats(price_counts(spark.createDataFrame(list(state.values()), schema))).collect()}
     assert {tuple(r) for r in log.prices().collect()} == want == {tuple(r) for r in other.prices().collect()} and want
+
+
+def test_dictionary_target_of_listings_that_share_a_key(spark):
+    from carsift.operators.identify import with_target, with_target_by_dictionary
+    from carsift.sources import dictionaries as dic
+
+    rows = [(7, "Peugeot", "207", "1.4 HDi 70ch", "Peugeot 207 1.4 HDi 70ch", "diesel"), (7, "Ford", "Focus", "x", "Ford Focus x", "essence"),
+            (None, "Peugeot", "207", "1.4 HDi 70ch", "Peugeot 207 1.4 HDi 70ch", "diesel"), (8, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "arrival_seq long, marque string, modele string, version string, titre string, carburant string")
+    got = with_target_by_dictionary(df, dic.dim_vehicle(spark), dic.dim_vehicle_pattern(spark), dic.dim_vehicle_exclusion(spark))
+    order = lambda d: sorted(map(str, d.select("arrival_seq", "marque", "vehicule_cible_id").collect()))
+    assert order(got) == order(with_target(df)) and got.filter("vehicule_cible_id <> ''").count() == 2
