@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carsift.functions.parse import parse_boite, parse_carburant, parse_departement, parse_seller_type, with_title_parts
 from carsift.functions.text import blank_if_null
+from carsift.operators.dedup import first_per_key
 
 c = F.col
 
@@ -29,8 +30,11 @@ def index_to_listing(df: DataFrame, faithful: bool = False) -> DataFrame:
 
 def merge_detail(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Left join on url. Where a detail exists: description, seller name, phone and power are replaced; images, seller type,
-    fuel, gearbox and engine only by non-empty values; the version only fills an empty one."""
-    d = details.select(c("url"), F.struct(*[n for n in details.columns if n != "url"]).alias("_d"))
+    fuel, gearbox and engine only by non-empty values; the version only fills an empty one. One detail of an address is merged
+    (of several, the same one in every run), so no listing comes out twice."""
+    names = [n for n in details.columns if n != "url"]
+    one = first_per_key(details.filter(c("url").isNotNull()), c("url"), [F.xxhash64(*names)])
+    d = one.select(c("url"), F.struct(*names).alias("_d"))
     j = listings.join(d, "url", "left")
     has = c("_d").isNotNull()
 

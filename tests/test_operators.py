@@ -150,3 +150,16 @@ def test_dictionary_target_of_listings_that_share_a_key(spark):
     got = with_target_by_dictionary(df, dic.dim_vehicle(spark), dic.dim_vehicle_pattern(spark), dic.dim_vehicle_exclusion(spark))
     order = lambda d: sorted(map(str, d.select("arrival_seq", "marque", "vehicule_cible_id").collect()))
     assert order(got) == order(with_target(df)) and got.filter("vehicule_cible_id <> ''").count() == 2
+
+
+def test_details_that_share_an_address_merge_once(spark):
+    from carsift.operators.merge import merge_detail
+
+    extra = "description string, images_urls array<string>, seller_type string, seller_name string, seller_phone string, carburant string, boite string, puissance_ch int, version string, motorisation string"
+    plain = ("d", [], "unknown", "", "", "unknown", "unknown", None, "", "")
+    listings = spark.createDataFrame([("a", *plain), ("a", *plain), ("b", *plain), (None, *plain)], "url string, " + extra)
+    details = [(u, f"detail {i}", ["x"], "", "", "", "", "", None, "v", "") for u, i in (("a", 1), ("a", 2), (None, 3), (None, 4))]
+    results = [sorted((r.url or "", r.description) for r in merge_detail(listings, spark.createDataFrame(some, "url string, " + extra)).collect())
+               for some in (details, details[::-1])]
+    assert results[0] == results[1] and [u for u, _ in results[0]] == ["", "a", "a", "b"]
+    assert results[0][0][1] == "d" and len({d for u, d in results[0] if u == "a"}) == 1 and results[0][3] == ("b", "d")
