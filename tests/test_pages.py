@@ -120,3 +120,19 @@ def test_batch_and_stream_give_equal_rows(spark, tmp_path):
     assert pages.count() == 6 and feed.read_pages(spark, str(root), ["paruvendu"]).count() == 1
     assert got == sorted((r.source, r.source_listing_id, r.prix) for r in feed.scan_pages(pages, search).collect())
     assert len(got) == 4 and feed.read_pages(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tags_are_read_once_and_kept_within_bounds():
+    from carsift.sources import cards
+
+    rule = cards.Rule(["div.x"], {"title": ["h2"], "price": ["~price"]})
+    page = lambda n: "".join(f"<div class=x><a href='/{i}'>.</a><h2>t</h2><p class=Price>{i}</p></div>" for i in range(n))
+    known: dict = {}
+    found = rule.cut(page(3), known)
+    assert [(c["href"], c["parts"]) for c in found] == [(f"/{i}", {"title": "t", "price": str(i)}) for i in range(3)]
+    assert len(known) == 6 and rule.cut(page(3), known) == found
+    rule.cut(page(2 * cards.KNOWN) + f"<img src='{'y' * 1000}'>", known)
+    assert len(known) <= cards.KNOWN and max(map(len, known)) <= cards.SHORT
+    # unclosed quotes, comments and tags without an end, as before
+    odd = "<div class=x><a href='/1>b</a><!-- <h2>no</h2> --><h2>yes</h2></div><a <!-- "
+    assert rule.cut(odd, {})[0]["parts"] == {"title": "yes"}
