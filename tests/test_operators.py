@@ -163,3 +163,18 @@ def test_details_that_share_an_address_merge_once(spark):
                for some in (details, details[::-1])]
     assert results[0] == results[1] and [u for u, _ in results[0]] == ["", "a", "a", "b"]
     assert results[0][0][1] == "d" and len({d for u, d in results[0] if u == "a"}) == 1 and results[0][3] == ("b", "d")
+
+
+def test_reading_a_table_limits_generated_methods(spark, tmp_path):
+    from carsift.sources.listings import read_table
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.range(1).write.parquet(str(tmp_path / "part.parquet"))
+    try:
+        for given, then in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, given)
+            read_table(spark, str(tmp_path), "part")
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
