@@ -67,16 +67,21 @@ class PhraseSet:
         """Phrases found, with repeats, expression by expression."""
         return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(self._regex(g)), 1) for g in self.groups]))
 
-    def hits(self, text: Column, extra: list[Column] = ()) -> Column:
-        """Sorted distinct owner positions; `extra` holds further positions (NULL = not found)."""
+    def hits(self, text: Column, extra: list[tuple[Column, int]] = ()) -> Column:
+        """Sorted distinct owner positions; `extra` holds further positions, each with the condition under which it counts.
+
+        array_sort and array_compact take a lambda, below which nothing is compiled; a hash set is only built where two were found.
+        """
+        none = F.array().cast("array<int>")
         parts = []
         for g in self.groups:
             table = F.create_map(*[F.lit(x) for kv in g.items() for x in kv])
             parts.append(_look_up(F.regexp_extract_all(text, F.lit(self._regex(g)), 1), table))
-        if extra:
-            parts.append(F.array_compact(F.array(*extra)))
+        parts += [F.when(found, F.array(F.lit(i))).otherwise(none) for found, i in extra]
+        if not parts:
+            return none
         joined = parts[0] if len(parts) == 1 else F.concat(*parts)
-        return F.array_sort(F.array_distinct(joined)) if parts else F.array().cast("array<int>")
+        return F.when(F.size(joined) > 1, F.sort_array(F.array_distinct(joined))).otherwise(joined)
 
 
 def pick(hits: Column, values: list) -> Column:

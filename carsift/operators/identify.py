@@ -37,7 +37,12 @@ def vehicle_value(ord_col: Column, getter, targets: dict | None = None) -> Colum
 
 
 def with_target(df: DataFrame, targets: dict | None = None) -> DataFrame:
-    """Adds veh_ord and vehicule_cible_id ('' when no vehicle fits). The lower-cased inputs are a projection of their own,
+    """Adds veh_ord and vehicule_cible_id ('' when no vehicle fits)."""
+    return settle(unsettled_target(df, targets), ["veh_ord", "vehicule_cible_id"])  # later filters on the vehicle must not repeat the CASE
+
+
+def unsettled_target(df: DataFrame, targets: dict | None = None) -> DataFrame:
+    """The same for a caller that settles them with columns of its own. The lower-cased inputs are a projection of their own,
     so the CASE over the vehicles does not repeat them."""
     c = F.col
     lowered = {
@@ -47,9 +52,8 @@ def with_target(df: DataFrame, targets: dict | None = None) -> DataFrame:
     }
     found = target_ord(*[c(n) for n in lowered], targets)
     known = (blank_if_null("marque") != "") & (blank_if_null("modele") != "")
-    named = df.withColumns(lowered).withColumn("veh_ord", F.when(known, found)).withColumn(
+    return df.withColumns(lowered).withColumn("veh_ord", F.when(known, found)).withColumn(
         "vehicule_cible_id", F.coalesce(vehicle_value(c("veh_ord"), lambda v: v["id"], targets), F.lit(""))).drop(*lowered)
-    return settle(named, ["veh_ord", "vehicule_cible_id"])  # later filters on the vehicle must not repeat the CASE
 
 
 def with_target_by_dictionary(df: DataFrame, vehicles: DataFrame, patterns: DataFrame, exclusions: DataFrame, hints: dict | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def _regex(e: dict) -> str:
 def opportunity_hits(padded: Column, keywords: dict | None = None) -> Column:
     kw = keywords or builtin("keywords")
     n = len(kw["opportunity"])
-    extra = [F.when(padded.rlike(_regex(e)), n + i) for i, e in enumerate(kw.get("opportunity_regex", []))]
+    extra = [(padded.rlike(_regex(e)), n + i) for i, e in enumerate(kw.get("opportunity_regex", []))]
     return PhraseSet([plain(e["patterns"]) for e in kw["opportunity"]], True).hits(padded, extra)
 
 

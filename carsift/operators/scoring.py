@@ -13,7 +13,7 @@ from carsift.functions.phrases import pick
 from carsift.functions.phrases import total as total_of
 from carsift.functions.text import blank_if_null, contains_any
 from carsift.operators import keywords as kwd
-from carsift.operators.identify import vehicle_value, with_target
+from carsift.operators.identify import unsettled_target, vehicle_value
 from carsift.operators.settle import settle
 from carsift.sources.dictionaries import builtin
 
@@ -187,11 +187,12 @@ def _keyword_stage(df: DataFrame, profile: str, keywords: dict) -> DataFrame:
     return df.withColumns({"opp_hits": opp, "risk_hits": risk, "excluded_by": reason})
 
 
-def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | None = None, keywords: dict | None = None) -> DataFrame:
+def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | None = None, keywords: dict | None = None, settled: bool = True) -> DataFrame:
     """Adds the breakdown columns, score_total, alert_level, margins, keyword ids, status and ignore_reason.
 
     Needs marque, modele, version, titre, description, carburant, prix, kilometrage, departement, seller_type,
-    published_at and images_urls or n_images. `as_of` is the moment of scoring (may differ per row).
+    published_at and images_urls or n_images. `as_of` is the moment of scoring (may differ per row). A settled total may be
+    filtered on, but is computed whatever is selected; unsettled, selecting some parts computes only those.
     """
     targets, keywords = targets or builtin("targets"), keywords or builtin("keywords")
     w, c = targets["weights"], F.col
@@ -200,7 +201,8 @@ def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | Non
     opp_entries = kwd.opportunity_entries(keywords) if profile == "v3" else keywords["opportunity"]
     risk_entries = kwd.risk_entries(keywords)
 
-    st = settle(_keyword_stage(with_target(df, targets), profile, keywords), ["veh_ord", "opp_hits", "risk_hits", "excluded_by"])
+    # the hits stay outside, so that columns which do not need them leave them out
+    st = settle(_keyword_stage(unsettled_target(df, targets), profile, keywords), ["veh_ord", "vehicule_cible_id", "excluded_by"])
     st = st.withColumns({
         "scored": c("veh_ord").isNotNull() & c("excluded_by").isNull(),
         "hours": age_seconds(c("published_at"), as_of) / F.lit(3600),
@@ -262,7 +264,8 @@ def score(df: DataFrame, as_of: Column, profile: str = "v3", targets: dict | Non
         "status": F.when(excluded, "exclue").otherwise(c("status") if "status" in df.columns else F.lit("nouveau")),
         "ignore_reason": F.when(excluded, c("excluded_by")).otherwise(c("ignore_reason") if "ignore_reason" in df.columns else F.lit("")),
     }
-    out = settle(st.withColumns(final), ["total"]).withColumns({
+    out = st.withColumns(final)
+    out = (settle(out, ["total"]) if settled else out).withColumns({
         "score_total": c("total"), "alert_level": alert_level(c("total")),
         "margin_estimate_min": c("margin_min"), "margin_estimate_max": c("margin_max"),
     })

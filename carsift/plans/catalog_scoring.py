@@ -31,6 +31,11 @@ def scored(spark, folder, profile="v3"):
     return score(listings_from_orders(spark, folder), as_of_hours(), profile)
 
 
+def parts(spark, folder, profile="v3"):
+    """Scored listings for queries that select parts of the score and filter on none."""
+    return score(listings_from_orders(spark, folder), as_of_hours(), profile, settled=False)
+
+
 def flat(df, *cols):
     """Arrays as comma-joined text so that results compare across engines."""
     arrays = {n for n, t in df.dtypes if t.startswith("array<string")}
@@ -151,84 +156,84 @@ def _(spark, folder):
 
 @query("I2_price_v3", S("v3", "arrival_seq, prix_score, prix_detail, CASE WHEN ok THEN nv ELSE false END AS needs_verification"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "prix_score", "prix_detail", "needs_verification")
+    return parts(spark, folder).select(KEY, "prix_score", "prix_detail", "needs_verification")
 
 
 @query("I3_price_v2", S("v2", "arrival_seq, prix_score, prix_detail"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "prix_score", "prix_detail")
+    return parts(spark, folder, "v2").select(KEY, "prix_score", "prix_detail")
 
 
 @query("I4_km_v3", S("v3", "arrival_seq, km_score, km_detail"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "km_score", "km_detail")
+    return parts(spark, folder).select(KEY, "km_score", "km_detail")
 
 
 @query("I4b_km_v2", S("v2", "arrival_seq, km_score, km_detail"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "km_score", "km_detail")
+    return parts(spark, folder, "v2").select(KEY, "km_score", "km_detail")
 
 
 @query("I5_freshness_v3", S("v3", "arrival_seq, freshness_score, freshness_detail"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "freshness_score", "freshness_detail")
+    return parts(spark, folder).select(KEY, "freshness_score", "freshness_detail")
 
 
 @query("I6_freshness_v2", S("v2", "arrival_seq, freshness_score, freshness_detail"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "freshness_score", "freshness_detail")
+    return parts(spark, folder, "v2").select(KEY, "freshness_score", "freshness_detail")
 
 
 @query("I7_keywords_v3", S("v3", "arrival_seq, keywords_score, keywords_detail"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "keywords_score", "keywords_detail")
+    return parts(spark, folder).select(KEY, "keywords_score", "keywords_detail")
 
 
 @query("I8_keywords_v2", S("v2", "arrival_seq, keywords_score, keywords_detail"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "keywords_score", "keywords_detail")
+    return parts(spark, folder, "v2").select(KEY, "keywords_score", "keywords_detail")
 
 
 @query("I9_bonus_v3", S("v3", "arrival_seq, bonus_score, bonus_detail"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "bonus_score", "bonus_detail")
+    return parts(spark, folder).select(KEY, "bonus_score", "bonus_detail")
 
 
 @query("I10_bonus_v2", S("v2", "arrival_seq, bonus_score, bonus_detail"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "bonus_score", "bonus_detail")
+    return parts(spark, folder, "v2").select(KEY, "bonus_score", "bonus_detail")
 
 
 @query("I11_risk_v3", S("v3", "arrival_seq, risk_penalty, risk_detail, keywords_risque"))
 def _(spark, folder):
-    return flat(scored(spark, folder), KEY, "risk_penalty", "risk_detail", "keywords_risque")
+    return flat(parts(spark, folder), KEY, "risk_penalty", "risk_detail", "keywords_risque")
 
 
 @query("I11b_risk_v2", S("v2", "arrival_seq, risk_penalty, risk_detail, keywords_risque"))
 def _(spark, folder):
-    return flat(scored(spark, folder, "v2"), KEY, "risk_penalty", "risk_detail", "keywords_risque")
+    return flat(parts(spark, folder, "v2"), KEY, "risk_penalty", "risk_detail", "keywords_risque")
 
 
 @query("I12_exclusion_v3", S("v3", "arrival_seq, status, ignore_reason"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "status", "ignore_reason")
+    return parts(spark, folder).select(KEY, "status", "ignore_reason")
 
 
 @query("I12b_exclusion_v2", S("v2", "arrival_seq, status, ignore_reason"))
 def _(spark, folder):
-    return scored(spark, folder, "v2").select(KEY, "status", "ignore_reason")
+    return parts(spark, folder, "v2").select(KEY, "status", "ignore_reason")
 
 
 @query("I13_margin", S("v3", "arrival_seq, margin_min, margin_max, repair_cost_estimate"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, "margin_min", "margin_max", "repair_cost_estimate")
+    return parts(spark, folder).select(KEY, "margin_min", "margin_max", "repair_cost_estimate")
 
 
 @query("I14_margin_bonus", S("v3", "arrival_seq, CASE WHEN margin_min >= 1500 THEN 5 WHEN margin_min >= 1000 THEN 3 WHEN margin_min >= 500 THEN 2 ELSE 0 END AS margin_bonus"))
 def _(spark, folder):
     from carsift.operators.scoring import margin_bonus
 
-    return scored(spark, folder).select(KEY, margin_bonus(c("margin_min"), dic.builtin("targets")["weights"]["margin"]).alias("margin_bonus"))
+    return parts(spark, folder).select(KEY, margin_bonus(c("margin_min"), dic.builtin("targets")["weights"]["margin"]).alias("margin_bonus"))
 
 
 @query("I15_score_v2", S("v2", "arrival_seq, vehicule_cible_id, score_total, alert_level, status, ignore_reason, " + ", ".join(BREAKDOWN) + ", keywords_opportunite, keywords_risque"))
@@ -428,7 +433,7 @@ def _(spark, folder):
 
 @query("I33_market_discount", S("v3", "arrival_seq, CASE WHEN NOT ok OR prix IS NULL OR prix > pmax THEN 0e0 WHEN prix < pmin OR prix < med * 0.85e0 THEN disc ELSE 0e0 END AS discount_vs_market"))
 def _(spark, folder):
-    return scored(spark, folder).select(KEY, F.round("discount_vs_market", 12).alias("discount_vs_market"))
+    return parts(spark, folder).select(KEY, F.round("discount_vs_market", 12).alias("discount_vs_market"))
 
 
 @query("B14_alert_level", S("v3", "arrival_seq, alert_level"))
