@@ -12,21 +12,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def lag_by_key(df: DataFrame, keys: list[str], order: str, bucket: Column, values: list[str], prefix: str = "prev_") -> DataFrame:
-    """Adds prev_<value>: the values of the preceding row of the key. `bucket` must grow with `order` (a unique number)."""
-    b = df.withColumn("_bucket", bucket)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
+def lag_by_key(df: DataFrame, keys: list[str], order: str, bucket: Column, values: list[str], prefix: str = "prev_",
+               least: dict[str, Column] | None = None) -> DataFrame:
+    """Adds prev_<value>: the values of the preceding row of the key. `bucket` must grow with `order` (a unique number).
+
+    least: name -> column; adds its smallest value over the key's rows up to and including the row. Null keys are one key.
+    """
+    least = least or {}
+    # key and bucket as one struct, which is never NULL: a join on columns that may be NULL would filter one of its sides
+    # below the shuffle, and the input would then be computed and shuffled once for each side
+    b = df.withColumn("_cell", F.struct(*keys, bucket.alias("_bucket")))
+    inside = W.partitionBy("_cell").orderBy(order)
     packed = F.struct(F.col(order).alias("_o"), *values)
-    rows = b.withColumn("_lag", F.lag(packed).over(inside))
-    # from the windowed rows, which lie together by key and bucket already: the input is computed and shuffled once
+    rows = b.withColumns({"_lag": F.lag(packed).over(inside)} | {f"_least_{n}": F.min(x).over(inside) for n, x in least.items()})
+    # from the windowed rows, which lie together by key and bucket already
     ends = rows.withColumn("_next", F.lead(F.col(order)).over(inside)).where(F.col("_next").isNull())
-    last = ends.select(*keys, "_bucket", packed.alias("_last"))
-    across = W.partitionBy(*keys).orderBy("_bucket")
-    carry = last.withColumn("_carry", F.lag("_last").over(across)).filter(F.col("_carry").isNotNull()).select(*keys, "_bucket", "_carry")
+    last = ends.select("_cell", packed.alias("_last"), *[f"_least_{n}" for n in least])
+    across = W.partitionBy(*[F.col("_cell")[k] for k in keys]).orderBy(F.col("_cell")["_bucket"])
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    carry = last.select("_cell", F.lag("_last").over(across).alias("_carry"), *[F.min(f"_least_{n}").over(earlier).alias(f"_before_{n}") for n in least])
     # only the first row of each bucket needs the carried value; the others already have theirs
-    joined = rows.join(carry, [*keys, "_bucket"], "left")
+    joined = rows.join(carry.filter(F.col("_carry").isNotNull()), "_cell", "left")
     prev = F.coalesce("_lag", "_carry")
-    return joined.withColumns({prefix + v: prev[v] for v in values}).drop("_bucket", "_lag", "_carry")
+    return joined.withColumns({prefix + v: prev[v] for v in values} | {n: F.least(f"_least_{n}", f"_before_{n}") for n in least}).drop(
+        "_cell", "_lag", "_carry", *[f"{p}_{n}" for n in least for p in ("_least", "_before")])
 
 
 def streaks(df: DataFrame, key: str, order: str, bucket: Column, flag: Column) -> DataFrame:

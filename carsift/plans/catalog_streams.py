@@ -41,11 +41,12 @@ _J4 = ("j4 AS (SELECT *, lag(arrival_seq) OVER w AS pseq, lag(prix) OVER w AS pp
 def _(spark, folder):
     """Batch form of the change stream: a listing counts as notified from its first row at or above the threshold."""
     df = stored(spark, folder).select(KEY, "fingerprint", "prix", "score_total")
-    lagged = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**11)), [KEY, "prix", "score_total"])
-    first = df.filter(c("score_total") >= 60).groupBy("fingerprint").agg(F.min(KEY).alias("hit"))
+    # the smallest hit up to a row says all that the smallest of the whole key would: rows before it have no reason
+    lagged = ordered.lag_by_key(df, ["fingerprint"], KEY, F.floor(c(KEY) / F.lit(10**11)), [KEY, "prix", "score_total"],
+                                least={"hit": F.when(c("score_total") >= 60, c(KEY))})
     later = c(KEY) > c("hit")
     reason = (
         F.when(c(KEY) == c("hit"), F.when(c("prev_arrival_seq").isNull(), "new").otherwise("score_threshold"))
         .when(later & (c("prev_prix") != 0) & (c("prix") != 0) & (c("prix") < c("prev_prix") * 0.95), "price_dropped")
         .when(later & (c("score_total") >= c("prev_score_total") + 10), "score_increased"))
-    return lagged.join(first, "fingerprint").withColumn("reason", reason).filter(c("reason").isNotNull()).select(KEY, "reason")
+    return lagged.withColumn("reason", reason).filter(c("reason").isNotNull()).select(KEY, "reason")
