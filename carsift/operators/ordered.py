@@ -32,7 +32,9 @@ def lag_by_key(df: DataFrame, keys: list[str], order: str, bucket: Column, value
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
     carry = last.select("_cell", F.lag("_last").over(across).alias("_carry"), *[F.min(f"_least_{n}").over(earlier).alias(f"_before_{n}") for n in least])
     # only the first row of each bucket needs the carried value; the others already have theirs
-    joined = rows.join(carry.filter(F.col("_carry").isNotNull()), "_cell", "left")
+    # (rows without an order are several ends of one bucket: they are given nothing, or they would be multiplied)
+    some = F.col("_carry").isNotNull() & F.col("_cell")["_bucket"].isNotNull()
+    joined = rows.join(carry.filter(some), "_cell", "left")
     prev = F.coalesce("_lag", "_carry")
     return joined.withColumns({prefix + v: prev[v] for v in values} | {n: F.least(f"_least_{n}", f"_before_{n}") for n in least}).drop(
         "_cell", "_lag", "_carry", *[f"{p}_{n}" for n in least for p in ("_least", "_before")])
