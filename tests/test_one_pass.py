@@ -51,3 +51,14 @@ def test_lag_by_key_of_null_keys_and_running_minimum(spark):
     df = spark.createDataFrame(rows, "i long, k string, v int")
     got = ordered.lag_by_key(df, ["k"], "i", F.floor(c("i") / 11), ["v"], least={"hit": F.when(c("v") >= 8, c("i"))})
     assert {r.i: (r.prev_v, r.hit) for r in got.collect()} == want
+
+
+def test_lag_by_key_of_rows_without_order(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "a", 1), (None, "a", 1), (5, "a", 2), (30, "a", 3), (None, "b", 4)], "i long, k string, v int")
+    got = ordered.lag_by_key(df, ["k"], "i", F.floor(c("i") / 11), ["v"]).collect()
+    assert sorted((r.i or 0, r.k, r.prev_v or 0) for r in got) == [(0, "a", 0), (0, "a", 1), (0, "a", 1), (0, "b", 0), (5, "a", 1), (30, "a", 2)]
+
+
+def test_order_pages_are_grouped_once(spark):
+    plan = _plan(QUERIES["A6_object_finders"](spark, DATA))
+    assert "collect_list" not in plan
