@@ -8,7 +8,8 @@ with the others. The size of the sample is the largest at which this leaves no s
 that the caller gives are held (the sample shrinks for them), tempered ones may miss by `slack`, so that a rare value with a few
 tokens does not set the size of the corpus. `balance` returns expected against target shares.
 
-Only cells are iterated on, never documents; the cell table stays a DataFrame, and its lineage is cut by a written table.
+Only cells are iterated on, never documents; the cell table stays a DataFrame, and its lineage is cut by a written table. Up to
+`FEW_CELLS` cells are one partition, so that a round needs no shuffle; more cells are shuffled.
 
 Defined cases: null source, language or topic form a value of their own; a null or empty text has 0 tokens and takes its
 cell's probability; a target value without tokens is ignored and the rest scaled up; without tokens all factors are 1;
@@ -18,7 +19,7 @@ repeated rows are decided alike; input columns named like a result column are re
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from carsift.llm.scratch import settled, unused_name, written
 
 AXES = ("source", "lang", "topic")
+FEW_CELLS = 100_000
 NONE = "\u0000"  # stands for null among an axis' values
 RESULT = ("source", "lang", "topic", "n_tokens", "factor", "probability", "kept")
 
@@ -61,16 +63,18 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     for axis in axes:
         now = now.join(targets[axis].withColumnRenamed("target", f"t_{axis}"), axis, "left")
     now = written(now, "cells")
-    whole = now.agg(F.sum("tokens")).first()[0]
+    whole, count = now.agg(F.sum("tokens"), F.count("*")).first()
     if not whole:
         return now.select(*cells.columns, "factor")
+    gathered = _gathered(count)
+    now = gathered(now)
     before, total = float("inf"), whole
     for _ in range(most_rounds):
         for axis in axes:
             mine = Window.partitionBy(axis)
             mass = F.sum(F.col("tokens") * F.col("factor")).over(mine)
             now = now.withColumn("mass", mass).withColumn("factor", F.when((F.col("mass") > 0) & F.col(f"t_{axis}").isNotNull(), F.col("factor") * F.col(f"t_{axis}") / F.col("mass")).when(F.col("mass") > 0, 0.0).otherwise(F.col("factor"))).drop("mass")
-        now = written(now, "cells")
+        now = gathered(written(now, "cells"))
         off, total = _misfit(now, axes)
         if not total:
             raise ValueError("the targets leave no tokens")
@@ -80,6 +84,11 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     return now.select(*cells.columns, (F.col("factor") * (whole / total)).alias("factor"))
 
 
+def _gathered(cells: int) -> Callable[[DataFrame], DataFrame]:
+    """How to lay out a table of so many cells: a small one in one partition, which windows and sums need not shuffle."""
+    return lambda now: now.coalesce(1) if cells <= FEW_CELLS else now
+
+
 def _misfit(now: DataFrame, axes: list[str]) -> tuple[float, float]:
     """Largest distance between a share and its target on any axis, and all fitted tokens."""
     mass = F.col("tokens") * F.col("factor")
@@ -112,7 +121,7 @@ def bounded(cells: DataFrame, targets: Mapping[str, DataFrame], keep: float, sla
     and is halved while cells together miss a target by more than that, at most down to where no probability is cut.
     """
     raked = written(rake(cells, targets, tolerance, most_rounds), "raked")
-    whole, largest = raked.where("tokens > 0").agg(F.sum("tokens"), F.max("factor")).first()
+    whole, largest, count = raked.agg(F.sum(F.when(F.col("tokens") > 0, F.col("tokens"))), F.max(F.when(F.col("tokens") > 0, F.col("factor"))), F.count("*")).first()
     if not whole:
         blank = [F.lit(None).cast("double").alias(f"target_{x}") for x in targets]
         return raked.select("*", F.least(F.lit(1.0), F.col("factor") * keep).alias("probability"), *blank)
@@ -122,20 +131,21 @@ def bounded(cells: DataFrame, targets: Mapping[str, DataFrame], keep: float, sla
     start = raked
     for axis in targets:
         start = start.join(sides.where(F.col("axis") == axis).select(F.col("value").alias(axis), F.col("target").alias(f"target_{axis}")), axis, "left")
-    start = written(start, "cells")
+    gathered = _gathered(count)
+    start = gathered(written(start, "cells"))
     while True:
         share = max(share, uncut)
         now = start.withColumn("factor", F.col("factor") * share)
         before, rounds = float("inf"), 0
         while True:
-            over, off = _missed(now, sides)
+            over, off = _missed(now, slacks)
             if off <= tolerance or abs(before - off) <= tolerance / 100 or rounds == most_rounds or share <= uncut:
                 break
             for axis in targets:
                 now = now.withColumn("mass", F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor")).over(Window.partitionBy(axis)))
                 step = F.col(f"target_{axis}") * (share * whole) / F.col("mass")
                 now = now.withColumn("factor", F.when(F.col("mass") > 0, F.least(F.lit(1e6), F.col("factor") * step)).otherwise(F.col("factor"))).drop("mass")
-            now, before, rounds = written(now, "cells"), off, rounds + 1
+            now, before, rounds = gathered(written(now, "cells")), off, rounds + 1
         if over <= tolerance or share <= uncut:
             break
         share /= 2
@@ -154,11 +164,12 @@ def balance(fitted: DataFrame) -> DataFrame:
     return by.withColumn("expected", F.try_divide("mass", F.sum("mass").over(Window.partitionBy("axis")))).drop("mass")
 
 
-def _missed(now: DataFrame, sides: DataFrame) -> tuple[float, float]:
+def _missed(now: DataFrame, slacks: Mapping[str, float]) -> tuple[float, float]:
     """The most by which an expected share misses its target beyond its slack, and without regard to the slack."""
     got = balance(now.withColumn("probability", F.least(F.lit(1.0), "factor"))).where("tokens > 0")
     off = F.abs(F.col("expected") - F.coalesce("target", F.lit(0.0)))
-    over, most = got.join(sides.select("axis", "slack").distinct(), "axis").agg(F.max(off - F.col("slack")), F.max(off)).first()
+    slack = F.coalesce(*[F.when(F.col("axis") == axis, F.lit(x)) for axis, x in slacks.items()])
+    over, most = got.agg(F.max(off - slack), F.max(off)).first()
     return over or 0.0, most or 0.0
 
 
