@@ -40,6 +40,23 @@ def test_depth_limits(spark):
     assert found == {"generic": [9, 10, 11, 15], "listings_or_priced": [9, 10]}
 
 
+@pytest.mark.parametrize("finder", ["generic", "container", "ads", "detail"])
+def test_walks_shuffle_and_repeat_nothing(spark, finder):
+    """Rounds of a recursive query were shuffled, each with all nodes of its depth."""
+    pages = spark.createDataFrame([(1, json.dumps(NESTED))], "page_id long, text string").withColumn("json", F.try_parse_json("text"))
+    for rows in (walk.find(pages, finder), walk.first_found(pages, finder)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "UnionLoop" not in plan and "WorkTable" not in plan
+        assert plan.count("parseJson") == 1
+
+
+def test_first_object_of_copies_and_of_pages_that_share_a_key(spark):
+    text = lambda *values: json.dumps({f"k{i}": {"description": v} for i, v in enumerate(values)})
+    pages = spark.createDataFrame([(1, text("a", "b")), (1, text("a", "b")), (None, text("c")), (2, text(3, "d")), (2, text())], "page_id long, text string")
+    rows = walk.first_found(pages.withColumn("json", F.try_parse_json("text")), "detail").select("page_id", F.try_variant_get("node", "$.description", "string").alias("d"))
+    assert sorted(((r.page_id or 0), r.d) for r in rows.collect()) == [(0, "c"), (1, "a"), (1, "a"), (2, "d")]
+
+
 def rule(name):
     return profiles.rule(builtin("profiles")["cards"][name])
 
