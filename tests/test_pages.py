@@ -153,3 +153,26 @@ def test_tags_are_read_once_and_kept_within_bounds():
     # unclosed quotes, comments and tags without an end, as before
     odd = "<div class=x><a href='/1>b</a><!-- <h2>no</h2> --><h2>yes</h2></div><a <!-- "
     assert rule.cut(odd, {})[0]["parts"] == {"title": "yes"}
+
+
+def test_only_wanted_elements_and_columns_are_kept(spark):
+    html = '<html><i>x</i><div><a href="/auto-occasion-annonce-1.html">t</a><b>1 650 €</b><img src="/i" alt="n"><img src="/j"></div><article><a href="/auto-occasion-annonce-2.html">u</a></article></html>'
+    r = rule("lacentrale_links")
+    page = cards.Page(html, r.selectors(), {}, r.around)
+    assert len(page.attributes) == 6 and [page.near[i] for i in page.places["a"]] == [0, 4]  # two roots, two links, two images
+    assert [c["texts"] for c in r.cut(html)] == [["t", "1 650 €"], ["u"]]
+    assert [c["texts"] for c in cards.Rule(["div", "article"], {}, most=1).cut("<div>a</div><div>b</div>")] == [["a"]]
+    pages = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    got = [x.found for x in pages.select(cards.cut(F.col("html"), r, ["src"], first_image=True).alias("found")).collect()]
+    assert [[(c.text, c.parts.title, [i.asDict() for i in c.images]) for c in page] for page in got] == [
+        [("t 1 650 €", None, [{"src": "/i"}]), ("u", None, [])], [], []]
+
+
+def test_json_profiles_read_an_object_by_two_casts(spark):
+    raw = {"id": 5, "price": {"value": "1650"}, "vehicle": {"make": "m", "mileage": "12 000 km"}, "mileage": 7, "images": ["a", {"url": "b"}, None, {"src": "c"}, "{d", 4]}
+    flat = {"id": "6", "price": 3, "make": "n", "mileage": 7, "vehicle": None, "images": "no list"}
+    objects = spark.createDataFrame([(json.dumps(x),) for x in (raw, flat, [1], {"id": 0})], "raw string")
+    rows = profiles.json_rows(objects, "autoscout_older")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("variant_get(") <= 2
+    got = [(r.source_listing_id, r.prix, r.marque, r.kilometrage, r.images_urls) for r in rows.orderBy("source_listing_id").collect()]
+    assert got == [("5", 1650, "m", 12000, ["a", "b", "", "", "", "4"]), ("6", 3, None, None, [])]
