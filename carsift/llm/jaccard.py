@@ -28,6 +28,8 @@ from carsift.llm.scratch import settled, written
 from carsift.llm.tiles import BITS, candidate_tiles, may_link, tile_classes
 from carsift.llm.words import Reader, Slice, mix
 
+TURNS = 2  # keys are made and shuffled in so many turns: nearly all occur once, and only the others stay on disk
+
 
 class Bands:
     """Band edges and the number of parts for linked sets whose smaller one lies in a band. t = num / den."""
@@ -107,8 +109,10 @@ def _profiles(n: int):
     return run
 
 
-def _keys(n: int, num: int, den: int):
-    """Tile keys of each text whose set is the one that stands for its doc_id."""
+def _keys(n: int, num: int, den: int, turn: int):
+    """Those tile keys of one turn (of TURNS, by their value) of each text whose set is the one that stands for its doc_id.
+
+    `others` are the set keys of a doc_id that do not stand for it, or NULL."""
 
     def run(batches):
         reader = Reader(fold_case=True)
@@ -116,16 +120,17 @@ def _keys(n: int, num: int, den: int):
         for batch in batches:
             for s in reader.slices(batch.column(1)):
                 keys = []
-                for u, wanted in zip(_sets(s, n), batch.column(2).slice(s.lo, s.hi - s.lo)):
+                for u, others in zip(_sets(s, n), batch.column(2).slice(s.lo, s.hi - s.lo).to_pylist()):
                     own = []
-                    if len(u) and _set_key(u) == wanted.as_py():
+                    if len(u) and not (others and _set_key(u) in others):
                         if len(u) >= bands.edges[-2]:
                             bands = Bands(num, den, 2 * len(u))
                         band = bands.of(len(u))
                         for scheme in (band - 1, band):
                             p, differ = bands.parts(scheme) if scheme >= 0 else (0, 0)
                             if p:
-                                own.append(_tile_keys(u, scheme, p, differ))
+                                key = _tile_keys(u, scheme, p, differ)
+                                own.append(key[key % np.uint64(TURNS) == turn])
                     keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
@@ -172,11 +177,17 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
     some = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     equal = some.groupBy("ka", "kb").agg(F.min("doc_id").alias("doc_id"))
     stand = written(equal.groupBy("doc_id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("doc_id", "k.ka", "k.kb"), "stand")
-    keyed = plain.join(stand.select("doc_id", "ka"), "doc_id").mapInArrow(_keys(n, num, den), f"id {kind}, keys array<long>")
-    tiles = candidate_tiles(keyed.select("id", F.explode("keys").alias("key")))
-    texts = written(plain.join(tiles.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # by what does not stand, which is little where few sets are equal: the texts then need no shuffle
+    spare = some.select("doc_id", "ka").distinct().join(stand.select("doc_id", "ka"), ["doc_id", "ka"], "left_anti")
+    spare = written(spare.groupBy("doc_id").agg(F.collect_list("ka").alias("others")), "spare")
+    texts = plain.where(F.col("doc_id").isNotNull()).join(spare, "doc_id", "left").select("doc_id", "text", "others")
+    turns = [texts.mapInArrow(_keys(n, num, den, turn), f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("key")) for turn in range(TURNS)]
+    tiles = settled(docs.sparkSession, "tiles", lambda: candidate_tiles(*turns))
+    # written, so that Spark knows its size and need not shuffle all texts for a few ids
+    ids = written(tiles.select("id").distinct(), "ids")
+    texts = written(plain.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
     shown = some.select("doc_id", "ka", "kb", "n_shingles", "bits").join(stand, ["doc_id", "ka", "kb"]).dropDuplicates(["doc_id"])
-    signs = written(shown.withColumnRenamed("doc_id", "id").join(tiles.select("id").distinct(), "id", "left_semi"), "signs")
+    signs = written(shown.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "signs")
     close = may_link("a_n_shingles", "b_n_shingles", "a_bits", "b_bits", num, den)
     final = tile_classes(tiles, signs.select("id", "n_shingles", "bits"), close, lambda pairs: _linked(pairs, texts, signs, n, num, den, kind))
     named = stand.join(final, F.col("doc_id") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "doc_id").alias("__class"))

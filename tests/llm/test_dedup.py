@@ -38,6 +38,20 @@ def test_jaccard_classes_match_all_pairs(spark, n, num, den):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def test_keys_are_shuffled_in_turns_that_make_all_of_them(spark, monkeypatch):
+    docs = [*copies(7), (901, None), (902, ""), (None, "w1 w2 w3"), (3, "another text of the same id")]
+    made = []
+    real = jaccard.candidate_tiles
+    monkeypatch.setattr(jaccard, "candidate_tiles", lambda *members: made.append([[tuple(r) for r in m.select("id", "key").collect()] for m in members]) or real(*members))
+    one = sorted(map(tuple, jaccard.classes(documents(spark, docs)).collect()), key=str)
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    assert sorted(map(tuple, jaccard.classes(documents(spark, docs)).collect()), key=str) == one
+    turns, (whole,) = made
+    assert len(turns) == 2 and sorted(x for t in turns for x in t) == sorted(whole)
+    assert max(map(len, turns)) < 0.7 * len(whole)
+    assert not set.intersection(*({k for _, k in t} for t in turns))
+
+
 def test_jaccard_large_group_of_near_copies(spark):
     base = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join([*base[:30], f"v{i}", *base[31:]])) for i in range(300)]
